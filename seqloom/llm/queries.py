@@ -4,16 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import byte_bpe, mixing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _sha256_of_ids(ids: Column) -> Column:
+    return F.sha2(F.array_join(ids.cast("array<string>"), ",").cast("binary"), 256)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    bpe = {"vocabulary": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), **bpe).drop("text")
+    decoded = byte_bpe.decode(ids, **bpe)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha256_of_ids(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES["op9_byte_bpe"] = op9_byte_bpe
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
