@@ -10,6 +10,7 @@ together, a row of one numpy tree each; a long piece has a tree of its own.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -51,7 +52,7 @@ class ByteBpe:
         keys = np.fromiter(pairs, dtype=np.int64, count=len(pairs))
         order = np.argsort(keys)
         self.keys, self.values = np.append(keys[order], NONE), np.append(np.fromiter(pairs.values(), dtype=np.int64, count=len(pairs))[order], 0)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of token ids; -1 if a pair doesn't merge or a side is missing (-1)."""
@@ -100,7 +101,7 @@ class ByteBpe:
                 put(before[i], leaf(before[i]))
         return [t for t in token if t >= 0]
 
-    def merge_short(self, pieces: list[bytes], size: int) -> list[tuple[int, ...]]:
+    def merge_short(self, pieces: list[bytes], size: int) -> list[bytes]:
         """Merges of pieces of at most size bytes; size is a power of two."""
         rows, lengths = len(pieces), np.array([len(p) for p in pieces])
         raw = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), dtype=np.uint8).reshape(rows, size)
@@ -147,22 +148,20 @@ class ByteBpe:
             refreshed(live[held], first[held])
             live = live[tree[live, 1] != NONE]
         kept = token >= 0
-        flat, ends = token[kept].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
-        return [tuple(flat[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+        flat, ends = token[kept].astype(np.int32).tobytes(), (4 * np.cumsum(kept.sum(axis=1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
-    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of each piece."""
-        out: list[tuple[int, ...] | None] = [None] * len(pieces)
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as 32-bit numbers."""
+        out = [b""] * len(pieces)
         sizes: dict[int, list[int]] = {}
         for k, piece in enumerate(pieces):
             whole = self.ranks.get(piece)
             if whole is not None:
-                out[k] = (whole,)
-            elif not piece:
-                out[k] = ()
+                out[k] = array("i", [whole]).tobytes()
             elif len(piece) > TOGETHER:
-                out[k] = tuple(self.merge_long(piece))
-            else:
+                out[k] = array("i", self.merge_long(piece)).tobytes()
+            elif piece:
                 sizes.setdefault(1 << (len(piece) - 1).bit_length(), []).append(k)
         for size, ks in sizes.items():
             for start in range(0, len(ks), 8192):
@@ -171,23 +170,18 @@ class ByteBpe:
                     out[k] = ids
         return out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as 32-bit numbers."""
         split = [self.pattern.findall(text) for text in texts]
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        new = list({piece for pieces in split for piece in pieces if piece not in known})
-        fresh = dict(zip(new, self.merge([x.encode("utf-8") for x in new])))
-        known.update((x, ids) for x, ids in fresh.items() if len(x) <= TOGETHER)
-        if any(len(x) > TOGETHER for x in new):
-            known = {**known, **fresh}
-        out = []
-        for pieces in split:
-            ids: list[int] = []
-            for found in map(known.__getitem__, pieces):
-                ids += found
-            out.append(ids)
+        new = list(set().union(*split).difference(known))
+        known.update(zip(new, self.merge([x.encode("utf-8") for x in new])))
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        for piece in new:
+            if len(piece) > TOGETHER:
+                del known[piece]
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -233,9 +227,9 @@ def encode(df: DataFrame, *, vocabulary: str, pattern: str, text_col: str = "tex
             for a, b in slices(lengths, SLICE):
                 part = batch.slice(a, b - a)
                 ids = bpe.encode([x or "" for x in part.column(text_col).to_pylist()])
-                offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = np.fromiter((x for row in ids for x in row), dtype=np.int32, count=int(offsets[-1]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*part.schema.names, out])
+                offsets, flat = np.cumsum([0, *map(len, ids)]) // 4, np.frombuffer(b"".join(ids), dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, out])
 
     return rest.mapInArrow(run, schema)
 

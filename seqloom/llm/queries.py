@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing
-from .common import table
+from . import byte_bpe, mixing, token_files
+from .common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,3 +59,18 @@ tried AS (
 chosen AS (SELECT source, arg_min(k, (miss, k)) AS k FROM tried GROUP BY source)
 SELECT d.doc_id, d.size, d.source_size, d.target, (d.size * (floor(rate) + CASE WHEN u[c.k] < rate - floor(rate) THEN 1 ELSE 0 END))::bigint AS taken
 FROM drawn d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source"""
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import zlib
+
+    import public_tokenizers
+
+    scratch = Scratch(spark, "tokens")
+    path = scratch.path("files")
+    written = token_files.write(table(spark, sf_dir, "documents"), path, vocabulary=public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    manifest = scratch.keep(written, "manifest")
+    return token_files.with_digest(token_files.read(spark, path, manifest), zlib.crc32, out="ids_crc32")
+
+
+QUERIES["op10_token_files"] = op10_token_files
