@@ -92,6 +92,20 @@ def write_file(uri: str, data: bytes) -> None:
     os.replace(part, path)
 
 
+def read_file(uri: str) -> bytes:
+    """A file that write_file() wrote."""
+    try:
+        path = local_path(uri)
+    except ValueError:
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as found:
+            return found.read()
+    with open(path, "rb") as found:
+        return found.read()
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
