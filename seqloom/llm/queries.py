@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, sharding, simhash, token_files, warc
+from . import byte_bpe, language, mixing, sharding, simhash, token_files, warc
 from .common import Scratch, doc_key, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,18 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_simhash"] = op6_simhash
+
+
+def held_out(doc_id: Column) -> Column:
+    """Documents that language identification doesn't learn from; a null id is none of them."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, ~held_out(F.col("doc_id")))
+    found = language.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op3_language"] = op3_language
