@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, mixing, quality, sharding, simhash, token_files, warc
+from . import byte_bpe, language, mixing, neighbours, quality, sharding, simhash, token_files, warc
 from .common import Scratch, doc_key, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_quality"] = op4_quality
+
+
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES["op2_neighbours"] = op2_neighbours
