@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +23,10 @@ from pyspark.sql import types as T
 NONE = np.int64(1) << 62
 #: Pieces of up to this number of bytes are merged as rows of one tree.
 TOGETHER = 64
-#: Pieces that a Python worker remembers; the memory is emptied when it is full.
-REMEMBERED = 400_000
+#: New pieces after which a Python worker forgets those that it has not met since it last forgot.
+REMEMBERED = 250_000
 #: Characters of text that are encoded at a time.
-SLICE = 4_000_000
+SLICE = 1_000_000
 
 
 class ByteBpe:
@@ -39,26 +39,38 @@ class ByteBpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
-        if (self.single < 0).any():
+        self.known, self.older = {}, {}
+
+    @cached_property
+    def single(self) -> np.ndarray:
+        """The token of each byte."""
+        found = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
+        if (found < 0).any():
             raise ValueError("the ranks lack a byte")
+        return found
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The rank of each pair of tokens that merges; its key is left * 2^32 + right."""
         pairs = {}
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = rank
-        self.pairs = pairs
-        keys = np.fromiter(pairs, dtype=np.int64, count=len(pairs))
+        return pairs
+
+    @cached_property
+    def sorted_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.fromiter(self.pairs, dtype=np.int64, count=len(self.pairs))
         order = np.argsort(keys)
-        self.keys, self.values = np.append(keys[order], NONE), np.append(np.fromiter(pairs.values(), dtype=np.int64, count=len(pairs))[order], 0)
-        self.known: dict[str, bytes] = {}
+        return np.append(keys[order], NONE), np.append(np.fromiter(self.pairs.values(), dtype=np.int64, count=len(keys))[order], 0)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of token ids; -1 if a pair doesn't merge or a side is missing (-1)."""
-        key = left << 32 | right
-        at = np.searchsorted(self.keys, key)
-        return np.where((left >= 0) & (right >= 0) & (self.keys[at] == key), self.values[at], -1)
+        (keys, values), key = self.sorted_pairs, left << 32 | right
+        at = np.searchsorted(keys, key)
+        return np.where((left >= 0) & (right >= 0) & (keys[at] == key), values[at], -1)
 
     def merge_long(self, piece: bytes) -> list[int]:
         n = len(piece)
@@ -173,10 +185,12 @@ class ByteBpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as 32-bit numbers."""
         split = [self.pattern.findall(text) for text in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list(set().union(*split).difference(known))
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = set().union(*split).difference(known)
+        known.update((piece, older[piece]) for piece in new.intersection(older))
+        new = list(new.difference(older))
         known.update(zip(new, self.merge([x.encode("utf-8") for x in new])))
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
         for piece in new:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, mixing, neighbours, quality, sharding, simhash, token_files, warc
+from . import byte_bpe, language, lines, mixing, neighbours, quality, sharding, simhash, token_files, warc
 from .common import Scratch, doc_key, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,10 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_neighbours"] = op2_neighbours
+
+
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op5_lines"] = op5_lines

@@ -25,20 +25,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import SLICE, slices
+from .byte_bpe import slices
 from .common import write_file
 
 # Fixed values of the published code: ids a word holds and bits of each, by selector. Here selector 0 is the escape.
 COUNTS = (1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 
+#: Characters of text, or ids, that are worked on at a time.
+SLICE = 1_000_000
 MAGIC = b"S8BTOK01"
 #: Ids of a block.
 BLOCK = 65_536
 #: Ids after which a writer closes its file. A document is never split.
 FILE_IDS = 4_000_000
-#: Words that a Python worker remembers; the memory is emptied when it is full.
-REMEMBERED = 1_200_000
+#: New words after which a Python worker forgets those that it has not met since it last forgot.
+REMEMBERED = 300_000
 #: New words that the library is given in one string.
 JOINED = 1000
 
@@ -50,11 +52,13 @@ def pack(ids: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     chosen = np.zeros(n, dtype=np.int8)
-    fit, values = np.arange(n), ids  # ids that fit the width, always fewer
+    fit, values = np.arange(n, dtype=np.int32), ids  # ids that fit the width, always fewer
     for selector in range(15, 0, -1):
         narrow = values < np.uint64(1 << WIDTHS[selector])
-        if not narrow.all():
-            fit, values = fit[narrow], values[narrow]
+        if narrow.all() and len(fit) == n:
+            chosen[: max(0, n - COUNTS[selector] + 1)] = selector
+            continue
+        fit, values = fit[narrow], values[narrow]
         if len(fit) < COUNTS[selector]:
             break
         lasts = np.append(np.flatnonzero(np.diff(fit) != 1), len(fit) - 1)
@@ -150,17 +154,19 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as 32-bit numbers."""
         for blank in "\t\n\v\f\r":
             texts = [x.replace(blank, " ") for x in texts]
         split = [x.split(" ") for x in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list(set().union(*split).difference(known))
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = set().union(*split).difference(known)
+        known.update((word, older[word]) for word in new.intersection(older))
+        new = list(new.difference(older))
         for a in range(0, len(new), JOINED):
             part = new[a : a + JOINED]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
