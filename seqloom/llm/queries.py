@@ -14,17 +14,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def _sha256_of_ids(ids: Column) -> Column:
+def sha256_of_ids(ids: Column) -> Column:
     return F.sha2(F.array_join(ids.cast("array<string>"), ",").cast("binary"), 256)
 
 
-def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bpe_options() -> dict[str, str]:
     import public_tokenizers
 
-    bpe = {"vocabulary": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    return {"vocabulary": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bpe = bpe_options()
     ids = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), **bpe).drop("text")
     decoded = byte_bpe.decode(ids, **bpe)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha256_of_ids(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256_of_ids(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES["op9_byte_bpe"] = op9_byte_bpe
