@@ -56,8 +56,8 @@ def suffix_order_doubling(reads: DataFrame, scratch: Scratch) -> DataFrame:
         if width > longest or distinct.count() == ranks.count():
             break
         ahead = ranks.select("read_id", (F.col("pos") - width).alias("pos"), F.col("rank").alias("next"))
-        ranks = ranks.join(ahead, ["read_id", "pos"], "left").select("read_id", "pos", "rank", F.coalesce("next", F.lit(-1)).alias("next"))
-        keys, width, turn = ["rank", "next"], width * 2, turn + 1
+        ranks = ranks.join(ahead, ["read_id", "pos"], "left").select("read_id", "pos", F.col("rank").alias("own"), F.coalesce("next", F.lit(-1)).alias("next"))
+        keys, width, turn = ["own", "next"], width * 2, turn + 1
     return numbered(ranks, ["rank", "read_id"], scratch, "order", "sa_idx").select("sa_idx", "read_id", "pos")
 
 
