@@ -7,6 +7,7 @@ else the next shorter one.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import slices
-from .common import Scratch, doc_key
+from .common import Scratch, doc_key, task, worker_state
 
 LETTERS = r"[\p{L}\p{M}]+"
 UNKNOWN = "und"
@@ -29,43 +30,42 @@ GRAM_SIZES = (5, 4, 3, 2, 1)
 #: Words of evidence behind a score: a longer text counts as one of this length.
 EVIDENCE = 8
 #: Words that a Python worker remembers the scores of.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Characters that are scored at a time.
-SLICE = 4_000_000
+SLICE = 1_000_000
 
 
 @dataclass
 class Model:
-    """languages in the order of their code points; log frequencies, a column for each."""
+    """languages in the order of their code points; for words and for n-grams of each size, where
+    in the table their log frequencies stand, a column for each language."""
 
     languages: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: list[dict[str, np.ndarray]] = field(default_factory=list)
+    words: tuple[dict[str, int], np.ndarray]
+    grams: list[tuple[dict[str, int], np.ndarray]]
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def word_scores(self, word: str) -> np.ndarray:
         """A word's score for each language; zeros if nothing of it is known."""
-        found = self.words.get(word)
+        known, table = self.words
+        found = known.get(word)
         if found is not None:
-            return found
+            return table[found]
         marked = f"<{word}>"
-        for size, known in zip(GRAM_SIZES, self.grams):
+        for size, (known, table) in zip(GRAM_SIZES, self.grams):
             hits = [x for k in range(len(marked) - size + 1) if (x := known.get(marked[k : k + size])) is not None]
             if hits:
-                return np.mean(hits, axis=0)
+                return table[hits].mean(axis=0)
         return np.zeros(len(self.languages), np.float32)
 
 
-def _log_frequencies(counts: DataFrame, key: str, most: int, languages: list[str]) -> dict[str, np.ndarray]:
-    """The most frequent keys of counts(lang, key, n), each with its log frequency by language, centred."""
-    at = {x: k for k, x in enumerate(languages)}
-    top = counts.groupBy(key).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy(F.desc("total"), key).limit(most)
-    rows = top.select(key, "by").collect()  # at most MODEL_WORDS or MODEL_GRAMS
-    table = np.zeros((len(rows), len(languages)))
-    for k, (_, by) in enumerate(rows):
-        for lang, n in by.items():
-            table[k, at[lang]] = n
-    logs = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * max(1, len(rows))))
-    return dict(zip((x[0] for x in rows), (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)))
+def _log_frequencies(counts: DataFrame, key: str, most: int, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """The most frequent keys of counts(lang, key, n), and each one's log frequency by language, centred."""
+    each = [F.sum(F.when(F.col("lang") == x, F.col("n"))).alias(f"n{k}") for k, x in enumerate(languages)]
+    top = counts.groupBy(key).agg(F.sum("n").alias("total"), *each).orderBy(F.desc("total"), key).limit(most).toArrow()  # at most MODEL_WORDS or MODEL_GRAMS
+    table = np.stack([np.nan_to_num(top.column(f"n{k}").to_numpy().astype(np.float64)) for k in range(len(languages))], axis=1)
+    logs = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * max(1, len(table))))
+    return {x: k for k, x in enumerate(top.column(key).to_pylist())}, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
 def fit(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
@@ -78,7 +78,8 @@ def fit(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col:
     sizes = used.groupBy("lang").count().collect()  # a row for each language
     languages = sorted(x["lang"] for x in sizes)
     if not languages:
-        return Model([], {}, [{} for _ in GRAM_SIZES])
+        nothing = {}, np.zeros((0, 0), np.float32)
+        return Model([], nothing, [nothing] * len(GRAM_SIZES))
     parts = 1 << 30
     share = F.create_map(*[y for x in sizes for y in (F.lit(x["lang"]), F.lit(min(parts, int(parts * train_docs / x["count"]) + 1)))])
     sample = used.where(F.pmod("draw", F.lit(parts)) < F.element_at(share, F.col("lang")))
@@ -143,8 +144,9 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", lang_out:
     schema = rest.withColumn(lang_out, F.lit("")).withColumn(score_out, F.lit(0.0)).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size has a bound: words, grams and languages
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(shared)
+        scorer = worker_state(("language", shared.value.name), lambda: Scorer(shared.value))
         for batch in batches:
             texts = batch.column(text_col)
             lengths = [n or 0 for n in pc.binary_length(texts).to_pylist()]
@@ -153,13 +155,3 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", lang_out:
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*batch.schema.names, lang_out, score_out])
 
     return rest.mapInArrow(run, schema)
-
-
-_held: list[Scorer] = []
-
-
-def _scorer(shared) -> Scorer:
-    """The worker's scorer of a broadcast model; that of another model goes."""
-    if not _held or _held[0].model is not shared.value:
-        _held[:] = [Scorer(shared.value)]
-    return _held[0]
