@@ -74,7 +74,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.path("files")
     written = token_files.write(table(spark, sf_dir, "documents"), path, vocabulary=public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     manifest = scratch.keep(written, "manifest")
-    return token_files.with_digest(token_files.read(spark, path, manifest), zlib.crc32, out="ids_crc32")
+    return token_files.read(spark, path, manifest, digest=zlib.crc32).withColumnRenamed("digest", "ids_crc32")
 
 
 QUERIES["op10_token_files"] = op10_token_files
@@ -138,6 +138,36 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op4_quality"] = op4_quality
 
+_LIMITS = quality.Limits()
+_CLASS_SQL = ", ".join("length(t) - length(regexp_replace(t, '{}', '', 'g'))".format(x.replace("'", "''")) for x in quality.CLASSES.values())
+_HALF = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) ELSE 0 END".format
+ORACLE["op4_quality"] = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+tri AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 1))) AS i FROM w)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM tri) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(0, 3) AS r(k) GROUP BY doc_id),
+ln AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+base AS (
+  SELECT w.doc_id, lang, t, ws, len(ws)::bigint AS n_words, coalesce(length(array_to_string(ws, '')), 0)::bigint AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint AS n_symbols,
+    coalesce(ln.n, 0)::bigint AS n_dup_lines, coalesce(cov.n, 0)::bigint AS n_repeat_words
+  FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN ln USING (doc_id)),
+marks AS (SELECT doc_id, lang, length(t) AS n, [{_CLASS_SQL}, length(t) - word_chars, n_symbols] AS c FROM base),
+bins AS (SELECT doc_id, lang, n, unnest(list_concat(c, [n - list_sum(c)])) AS c, generate_subscripts(list_concat(c, [n]), 1) AS k FROM marks),
+ref AS (SELECT lang, k, sum(c) / sum(sum(c)) OVER (PARTITION BY lang) AS q FROM bins GROUP BY lang, k),
+cd AS (SELECT doc_id, sqrt(greatest(sum(({_HALF("c / n", "q")} + {_HALF("q", "(c / n)")}) / 2), 0)) AS class_distance FROM bins JOIN ref USING (lang, k) WHERE n > 0 GROUP BY doc_id),
+wc AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(t), '[^\x20\x09-\x0D]+')) AS word FROM d) WHERE length(word) <= {_LIMITS.common_length} GROUP BY lang, word),
+top AS (SELECT lang, word, n / total AS q FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place, sum(n) OVER (PARTITION BY lang) AS total FROM wc) WHERE place <= {_LIMITS.common}),
+dw AS (SELECT doc_id, lower(word) AS word, count(*) AS c FROM (SELECT doc_id, unnest(ws) AS word FROM w) WHERE length(word) <= {_LIMITS.common_length} GROUP BY ALL),
+dn AS (SELECT doc_id, sum(c) AS n FROM dw GROUP BY doc_id),
+met AS (SELECT b.doc_id, q, coalesce(c, 0) / greatest(coalesce(dn.n, 0), 1) AS p FROM base b JOIN top USING (lang) LEFT JOIN dw ON dw.doc_id = b.doc_id AND dw.word = top.word LEFT JOIN dn ON dn.doc_id = b.doc_id),
+rest AS (SELECT * FROM met UNION ALL SELECT doc_id, greatest(1 - sum(q), 0), 1 - sum(p) FROM met GROUP BY doc_id),
+wd AS (SELECT doc_id, sqrt(greatest(sum(({_HALF("p", "q")} + {_HALF("q", "p")}) / 2), 0)) AS word_distance FROM rest GROUP BY doc_id),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (length(t) < {_LIMITS.min_chars} OR class_distance <= {_LIMITS.class_distance}) AND (n_words < {_LIMITS.min_words} OR word_distance <= {_LIMITS.word_distance}) AS kept
+FROM judged LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id)"""
+
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)

@@ -16,7 +16,7 @@ import itertools
 import os
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import slices
-from .common import write_file
+from .common import task, worker_state, write_file
 
 # Fixed values of the published code: ids a word holds and bits of each, by selector. Here selector 0 is the escape.
 COUNTS = (1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -41,21 +41,21 @@ BLOCK = 65_536
 FILE_IDS = 4_000_000
 #: New words after which a Python worker forgets those that it has not met since it last forgot.
 REMEMBERED = 300_000
-#: New words that the library is given in one string.
-JOINED = 1000
+#: Marks that are parted from a word of letters before them.
+MARKS = (".", ",", ";", ":", "!", "?")
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
     """The words of one block of unsigned ids: each takes the most ids that fit."""
-    ids = np.asarray(ids, dtype=np.uint64)
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64)
+    ids = np.asarray(ids) if ids.dtype == np.uint32 else np.asarray(ids, dtype=np.uint64)
     chosen = np.zeros(n, dtype=np.int8)
     fit, values = np.arange(n, dtype=np.int32), ids  # ids that fit the width, always fewer
     for selector in range(15, 0, -1):
-        narrow = values < np.uint64(1 << WIDTHS[selector])
-        if narrow.all() and len(fit) == n:
+        narrow = values < (1 << WIDTHS[selector]) if WIDTHS[selector] < 8 * ids.itemsize else None
+        if len(fit) == n and (narrow is None or narrow.all()):
             chosen[: max(0, n - COUNTS[selector] + 1)] = selector
             continue
         fit, values = fit[narrow], values[narrow]
@@ -80,7 +80,7 @@ def pack(ids: np.ndarray) -> np.ndarray:
             continue
         word = np.full(int(mine.sum()), selector << 60, dtype=np.uint64)
         for k in range(COUNTS[selector]):
-            word |= ids[starts[mine] + k] << np.uint64(k * WIDTHS[selector]) if WIDTHS[selector] else np.uint64(0)
+            word |= ids[starts[mine] + k].astype(np.uint64) << np.uint64(k * WIDTHS[selector]) if WIDTHS[selector] else np.uint64(0)
         words[places[mine]] = word
     return words
 
@@ -143,48 +143,63 @@ class TokenFile:
         return np.concatenate([self.block(k) for k in range(len(self.offsets))] or [np.zeros(0, np.uint64)])
 
 
-class WordTokenizer:
+class WordTokenizer(dict):
     """The ids that the library gives a whole text, found word by word.
 
     The tokenizer must drop white space and never join what it parts (as the word_bpe files do):
-    then a text's ids are those of its words in turn, and each new word is encoded once.
+    then a text's ids are those of its words in turn. As a dict it holds the ids of words, as
+    32-bit numbers, and finds those of a new word when it is asked for them.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        super().__init__()
+        self.tokenizer, self.older = Tokenizer.from_file(path), {}
+        self.model, self.marks = self.tokenizer.model, {x: array("I", self.tokenizer.encode(x).ids).tobytes() for x in MARKS}
+        # Bytes stand in the vocabulary as printable characters: themselves, or from U+0100 on in turn.
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.shown = dict(zip([b for b in range(256) if b not in shown], range(0x100, 0x200)))
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            body = word[:-1] if word[-1:] in self.marks else word
+            # Lower case may bring marks; a final sigma's depends on its place.
+            if body.isalpha() and body.lower().isalpha() and "\u03a3" not in body:
+                ids = self.letters(body) + (self.marks[word[-1]] if len(body) < len(word) else b"")
+            else:
+                ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(word) <= 100:
+            self[word] = ids
+        return ids
+
+    def letters(self, word: str) -> bytes:
+        """The ids of a word of letters alone, which is one piece: normalised as the tokenizer
+        does, and merged by its model."""
+        if not word.isascii():
+            word = normalize("NFC", word)
+        word = word.lower()
+        if not word.isascii():
+            word = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
+        return array("I", [x.id for x in self.model.tokenize(word)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as 32-bit numbers."""
-        for blank in "\t\n\v\f\r":
-            texts = [x.replace(blank, " ") for x in texts]
-        split = [x.split(" ") for x in texts]
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        new = set().union(*split).difference(known)
-        known.update((word, older[word]) for word in new.intersection(older))
-        new = list(new.difference(older))
-        for a in range(0, len(new), JOINED):
-            part = new[a : a + JOINED]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = array("I", found.ids).tobytes()
-            ends = np.cumsum([len(word) + 1 for word in part])
-            firsts = np.fromiter((x for x, _ in found.offsets), dtype=np.int64, count=len(found.ids))
-            cuts = (4 * np.searchsorted(firsts, ends)).tolist()
-            known.update(zip(part, map(ids.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for word in new:
-            if len(word) > 100:
-                del known[word]
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        find, out = self.__getitem__, []
+        for text in texts:
+            for blank in "\t\n\v\f\r":
+                text = text.replace(blank, " ")
+            out.append(b"".join(map(find, text.split(" "))))
         return out
 
 
-@lru_cache(maxsize=2)
 def _loaded(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    return worker_state(("words", path), lambda: WordTokenizer(path))
 
 
 def write(docs: DataFrame, path: str, *, vocabulary: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
@@ -200,6 +215,7 @@ def write(docs: DataFrame, path: str, *, vocabulary: str, end_id: int | None, id
     ordered = slim.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
     end = b"" if end_id is None else array("I", [end_id]).tobytes()
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, part, seq = _loaded(vocabulary), TaskContext.get().partitionId(), 0
         keys: list[int | None] = []
@@ -229,43 +245,35 @@ def write(docs: DataFrame, path: str, *, vocabulary: str, end_id: int | None, id
     return ordered.mapInArrow(run, "file string, part long, seq long, n_docs long, n_ids long")
 
 
-def read(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+def read(spark: SparkSession, path: str, manifest: DataFrame, *, digest: Callable[[memoryview], int] | None = None) -> DataFrame:
     """Documents of the files: doc_id, start (ids of all documents before it), n_tokens, ids.
 
     manifest: a written copy of what write() returned. Ids are 32-bit numbers, as signed ints.
+    With a digest, digest replaces ids: its number of their bytes as 32-bit little-endian numbers.
     """
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     starts = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("file_start"))
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(None, int)  # the worker may have been a writer's
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1)):
                 held = TokenFile(data.as_buffer())
-                ids, ends = held.ids().astype(np.uint32).view(np.int32), held.ends.astype(np.int64)
+                ids, ends = held.ids().astype("<u4"), held.ends.astype(np.int64)
                 firsts = np.concatenate(([0], ends[:-1]))
                 for a, b in slices((ends - firsts).tolist(), SLICE):
                     offsets = np.append(firsts[a:b], ends[b - 1])
-                    lists = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(ids[offsets[0] : offsets[-1]]))
-                    columns = [pa.array([name.as_py()] * (b - a)), pa.array(held.doc_ids[a:b], pa.int64()), pa.array(firsts[a:b]), pa.array((ends - firsts)[a:b]), lists]
-                    yield pa.RecordBatch.from_arrays(columns, names=["file", "doc_id", "in_file", "n_tokens", "ids"])
-
+                    if digest:
+                        raw = memoryview(ids).cast("B")
+                        last = pa.array([digest(raw[4 * x : 4 * y]) for x, y in itertools.pairwise(offsets.tolist())], pa.int64())
+                    else:
+                        last = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(ids[offsets[0] : offsets[-1]].view(np.int32)))
+                    columns = [pa.array([name.as_py()] * (b - a)), pa.array(held.doc_ids[a:b], pa.int64()), pa.array(firsts[a:b]), pa.array((ends - firsts)[a:b]), last]
+                    yield pa.RecordBatch.from_arrays(columns, names=["file", "doc_id", "in_file", "n_tokens", last_name])
+
+    last_name, kind = ("digest", "long") if digest else ("ids", "array<int>")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.s8b").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    found = files.select(name.alias("file"), "content").mapInArrow(run, "file string, doc_id long, in_file long, n_tokens long, ids array<int>")
-    return found.join(starts, "file").select("doc_id", (F.col("file_start") + F.col("in_file")).alias("start"), "n_tokens", "ids")
-
-
-def with_digest(docs: DataFrame, digest: Callable[[memoryview], int], *, ids_col: str = "ids", out: str = "digest") -> DataFrame:
-    """docs with a number in place of its ids: digest of their bytes as 32-bit little-endian numbers."""
-    rest = [c for c in docs.columns if c not in (ids_col, out)]
-    schema = docs.select(*rest).withColumn(out, F.lit(0).cast("long")).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(ids_col)
-            data = memoryview(lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)).cast("B")
-            ends = lists.offsets.to_numpy()
-            found = [digest(data[4 * a : 4 * b]) for a, b in itertools.pairwise(ends.tolist())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(found, pa.int64())], names=[*rest, out])
-
-    return docs.mapInArrow(run, schema)
+    found = files.select(name.alias("file"), "content").mapInArrow(run, f"file string, doc_id long, in_file long, n_tokens long, {last_name} {kind}")
+    return found.join(starts, "file").select("doc_id", (F.col("file_start") + F.col("in_file")).alias("start"), "n_tokens", last_name)
