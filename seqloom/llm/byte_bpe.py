@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import task, worker_state
+
 NONE = np.int64(1) << 62
 #: Pieces of up to this number of bytes are merged as rows of one tree.
 TOGETHER = 64
@@ -202,9 +204,8 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
 def _loaded(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(path, pattern)
+    return worker_state(("byte_bpe", path, pattern), lambda: ByteBpe(path, pattern))
 
 
 def _appended(df: DataFrame, name: str, kind: T.DataType) -> tuple[DataFrame, T.StructType]:
@@ -234,6 +235,7 @@ def encode(df: DataFrame, *, vocabulary: str, pattern: str, text_col: str = "tex
     """
     rest, schema = _appended(df, out, T.ArrayType(T.IntegerType()))
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(vocabulary, pattern)
         for batch in batches:
@@ -253,6 +255,7 @@ def decode(df: DataFrame, *, vocabulary: str, pattern: str, ids_col: str = "ids"
     isn't in the vocabulary is an error. A column that is named like out is replaced."""
     rest, schema = _appended(df, out, T.BinaryType())
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(vocabulary, pattern)
         for batch in batches:

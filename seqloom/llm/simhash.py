@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import SLICE, slices
-from .common import Scratch
+from .common import Scratch, task, worker_state
 from .components import Links, connected
 
 LINK_BITS = 3
@@ -64,7 +64,9 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text", out: str = "fingerp
     rest = [c for c in docs.columns if c not in (text_col, out)]
     schema = docs.select(*rest).withColumn(out, F.lit(0).cast("long")).schema
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(None, int)
         for batch in batches:
             column, found = batch.column(text_col), []
             for a, b in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), SLICE):
@@ -168,6 +170,7 @@ def fingerprint_links(distinct: DataFrame, scratch: Scratch, *, bits: int = LINK
     counter = [0]
     tree = grow(np.sort(sample), max(SAMPLE_LEAF, int(SHARD_ROWS * share)), bits, counter)
 
+    @task
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = batch.column(0).to_numpy().view(np.uint64)

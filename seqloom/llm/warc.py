@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_file, write_file
+from .common import Scratch, read_file, task, write_file
 
 # Fixed values of the formats: the header fields of either version, and the profile of revisits.
 ARC_FIELDS = {
@@ -193,6 +193,7 @@ def write_arc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     """
     slim = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.encode(html_col, "UTF-8"))
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
 
@@ -219,6 +220,7 @@ def write_arc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
 def index_arc(archives: DataFrame) -> DataFrame:
     """A slim row for each record of the ARC files in archives(path): archive, offset, key, payload_bytes, digest."""
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
@@ -256,6 +258,7 @@ def convert(archives: DataFrame, path: str, *, revisit_bytes: int = REVISIT_BYTE
     revisits = others.groupBy("archive").agg(F.collect_list(F.struct("offset", F.col("first.archive").alias("to_archive"), F.col("first.offset").alias("to_offset"))).alias("revisits"))
     work = archives.select(F.col("path").alias("archive")).join(revisits, "archive", "left")
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive, revisits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -276,6 +279,7 @@ def read_warc(archives: DataFrame) -> DataFrame:
     its header states; a revisit has its digest and size from its headers.
     """
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "record_type", "record_id", "refers_to_id", "url", "date", "payload", "payload_bytes", "payload_digest"]
         types = pa.schema(list(zip(names, [pa.int64(), *[pa.string()] * 5, pa.binary(), pa.int64(), pa.string()])))
