@@ -45,25 +45,32 @@ REMEMBERED = 300_000
 MARKS = (".", ",", ";", ":", "!", "?")
 
 
+def needed(ids: np.ndarray) -> np.ndarray:
+    """For each id the selector of the least width that holds it; 16 if none does."""
+    bits = np.searchsorted(np.array([1 << k for k in range(61)], dtype=np.uint64), np.asarray(ids, dtype=np.uint64), side="right")
+    return np.array([*[next(k for k in range(1, 16) if WIDTHS[k] >= w) for w in range(61)], 16], dtype=np.int8)[bits]
+
+
+NEEDED = needed(np.arange(1 << 16))
+
+
 def pack(ids: np.ndarray) -> np.ndarray:
     """The words of one block of unsigned ids: each takes the most ids that fit."""
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64)
     ids = np.asarray(ids) if ids.dtype == np.uint32 else np.asarray(ids, dtype=np.uint64)
-    chosen = np.zeros(n, dtype=np.int8)
-    fit, values = np.arange(n, dtype=np.int32), ids  # ids that fit the width, always fewer
-    for selector in range(15, 0, -1):
-        narrow = values < (1 << WIDTHS[selector]) if WIDTHS[selector] < 8 * ids.itemsize else None
-        if len(fit) == n and (narrow is None or narrow.all()):
-            chosen[: max(0, n - COUNTS[selector] + 1)] = selector
-            continue
-        fit, values = fit[narrow], values[narrow]
-        if len(fit) < COUNTS[selector]:
+    # A word takes the ids of a window if none of them needs a wider selector than its own.
+    own = NEEDED[ids] if int(ids.max()) < len(NEEDED) else needed(ids)
+    chosen, most, width = np.where(own < 16, np.int8(15), np.int8(0)), own, 1
+    for selector in range(14, 0, -1):
+        count = COUNTS[selector]
+        if count > n:
             break
-        lasts = np.append(np.flatnonzero(np.diff(fit) != 1), len(fit) - 1)
-        left = np.repeat(fit[lasts] + 1, np.diff(lasts, prepend=-1)) - fit  # of the run that an id is in
-        chosen[fit[left >= COUNTS[selector]]] = selector
+        while width < count:  # most[i] is the most of own[i : i + width]
+            more = min(count - width, width)
+            most, width = np.maximum(most[: len(most) - more], most[more:]), width + more
+        chosen[: len(most)][most <= selector] = selector
     step = np.array(COUNTS)[chosen].tolist()
     starts, at = [], 0
     while at < n:
@@ -167,7 +174,7 @@ class WordTokenizer(dict):
         if ids is None:
             body = word[:-1] if word[-1:] in self.marks else word
             # Lower case may bring marks; a final sigma's depends on its place.
-            if body.isalpha() and body.lower().isalpha() and "\u03a3" not in body:
+            if body.isalpha() and (body.isascii() or body.lower().isalpha() and "\u03a3" not in body):
                 ids = self.letters(body) + (self.marks[word[-1]] if len(body) < len(word) else b"")
             else:
                 ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
@@ -178,11 +185,10 @@ class WordTokenizer(dict):
     def letters(self, word: str) -> bytes:
         """The ids of a word of letters alone, which is one piece: normalised as the tokenizer
         does, and merged by its model."""
-        if not word.isascii():
-            word = normalize("NFC", word)
-        word = word.lower()
-        if not word.isascii():
-            word = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
+        if word.isascii():
+            word = word.lower()
+        else:
+            word = normalize("NFC", word).lower().encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
         return array("I", [x.id for x in self.model.tokenize(word)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
