@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scale import first_after, last_before, running_sum
+from ..plans.scale import running_sum, scan
 
 
 def bit_ranks(bits: DataFrame) -> DataFrame:
@@ -29,10 +29,7 @@ def bit_neighbours(bits: DataFrame) -> DataFrame:
     """bits with prev1 (last one up to i), next1 (first one from i on; the length if there is
     none), select_next1 and select_next0 (first one and zero strictly after i; null if none)."""
     one, zero = F.when(F.col("b"), F.col("i")), F.when(~F.col("b"), F.col("i"))
-    found = last_before(bits, one, "i", "prev1")
-    found = first_after(found, one, "i", "next1")
-    found = first_after(found, one, "i", "select_next1", strictly=True)
-    found = first_after(found, zero, "i", "select_next0", strictly=True)
+    found = scan(bits, "i", prev1=("last", one), next1=("first", one), select_next1=("after", one), select_next0=("after", zero))
     n = bits.agg(F.count(F.lit(1)).alias("_n"))
     return found.join(F.broadcast(n)).withColumn("next1", F.coalesce("next1", "_n")).drop("_n")  # n is one row
 
@@ -50,13 +47,13 @@ def vector_ranks(bits: DataFrame) -> DataFrame:
 def vector_select(bits: DataFrame) -> DataFrame:
     """(idx, i, next_i): the ones numbered from 0, and the next one's place."""
     ones = bit_ranks(bits).where("b").select((F.col("rank1") - 1).alias("idx"), "i")
-    return first_after(ones, F.col("i"), "idx", "next_i", strictly=True)
+    return scan(ones, "idx", next_i=("after", F.col("i")))
 
 
 def value_after(bits: DataFrame) -> DataFrame:
     """(v, i, idx) for each position v: the first one from v on and its number from 0; the length
     and the number of ones if there is none."""
-    ranked = first_after(bit_ranks(bits), F.when(F.col("b"), F.col("i")), "i", "_next")
+    ranked = scan(bits, "i", _next=("first", F.when(F.col("b"), F.col("i"))), rank1=("sum", F.col("b").cast("long")))
     total = bits.agg(F.count(F.lit(1)).alias("_n"))
     idx = F.col("rank1") - F.col("b").cast("long")
     return ranked.join(F.broadcast(total)).select(F.col("i").alias("v"), F.coalesce("_next", "_n").alias("i"), idx.alias("idx"))  # total is one row
@@ -89,7 +86,7 @@ def symbol_ranks(seq: DataFrame) -> DataFrame:
 
 def select_next(seq: DataFrame) -> DataFrame:
     """seq with next_i, the next place of the same symbol strictly after i."""
-    return first_after(seq, F.col("i"), "i", "next_i", keys=["c"], strictly=True)
+    return scan(seq, "i", ["c"], next_i=("after", F.col("i")))
 
 
 def symbol_counts(seq: DataFrame) -> DataFrame:

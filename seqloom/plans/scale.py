@@ -41,43 +41,36 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
 
-def _blocks(df: DataFrame, order: str, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    return df.withColumn("_block", F.floor(F.col(order) / BLOCK)), [*keys, "_block"]
+def scan(df: DataFrame, order: str, keys: Sequence[str] = (), **outs: tuple[str, Column]) -> DataFrame:
+    """df with columns that depend on the rows of the same keys before or after this one.
+
+    outs: name = (kind, value). "sum" adds up the values up to and with this row; "last" and
+    "first" are the last value that isn't null up to this row, and the first one from this row on;
+    "after" is the first one strictly after it. All are found in one pass over the blocks.
+    """
+    cut = df.withColumn("_block", F.floor(F.col(order) / BLOCK)).withColumns({f"_v_{x}": value for x, (_, value) in outs.items()})
+    by = [*keys, "_block"]
+    met = lambda x: F.when(F.col(f"_v_{x}").isNotNull(), F.col(order))
+    whole = {"sum": lambda x: F.sum(f"_v_{x}"), "last": lambda x: F.max_by(f"_v_{x}", met(x)), "first": lambda x: F.min_by(f"_v_{x}", met(x))}
+    whole["after"] = whole["first"]
+    blocks = cut.groupBy(*by).agg(*[whole[kind](x).alias(f"_b_{x}") for x, (kind, _) in outs.items()])
+    # Frames that reach the end are built anew for each row, so what comes after is met in descending order.
+    until, but = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
+    before, after = Window.partitionBy(*keys).orderBy("_block").rowsBetween(*but), Window.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(*but)
+    carry = {"sum": lambda x: F.coalesce(F.sum(x).over(before), F.lit(0)), "last": lambda x: F.last(x, ignorenulls=True).over(before), "first": lambda x: F.last(x, ignorenulls=True).over(after)}
+    carry["after"] = carry["first"]
+    carried = blocks.select(*by, *[carry[kind](f"_b_{x}").alias(f"_c_{x}") for x, (kind, _) in outs.items()])
+    up, down = Window.partitionBy(*by).orderBy(order), Window.partitionBy(*by).orderBy(F.desc(order))
+    within = {"sum": lambda x: F.sum(x).over(up.rowsBetween(*until)), "last": lambda x: F.last(x, ignorenulls=True).over(up.rowsBetween(*until)), "first": lambda x: F.last(x, ignorenulls=True).over(down.rowsBetween(*until)), "after": lambda x: F.last(x, ignorenulls=True).over(down.rowsBetween(*but))}
+    inside = cut.withColumns({f"_w_{x}": within[kind](f"_v_{x}") for x, (kind, _) in outs.items()})
+    joined = inside.join(carried, by)
+    both = {x: F.col(f"_w_{x}") + F.col(f"_c_{x}") if kind == "sum" else F.coalesce(f"_w_{x}", f"_c_{x}") for x, (kind, _) in outs.items()}
+    return joined.select(*[F.col(c) for c in df.columns if c not in outs], *[value.alias(x) for x, value in both.items()])
 
 
 def running_sum(df: DataFrame, value: Column, order: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
     """df with the sum of value over the rows of the same keys up to and with this one."""
-    cut, by = _blocks(df.withColumn("_value", value), order, keys)
-    totals = cut.groupBy(*by).agg(F.sum("_value").alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = cut.withColumn("_within", F.sum("_value").over(within))
-    return inside.join(offsets, by).withColumn(out, F.col("_within") + F.col("_offset")).drop("_block", "_value", "_within", "_offset")
-
-
-def last_before(df: DataFrame, value: Column, order: str, out: str, keys: Sequence[str] = (), strictly: bool = False) -> DataFrame:
-    """df with the last value that isn't null among the rows of the same keys up to this one
-    (strictly: before it)."""
-    cut, by = _blocks(df.withColumn("_value", value), order, keys)
-    lasts = cut.groupBy(*by).agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_last"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = lasts.select(*by, F.last("_last", ignorenulls=True).over(before).alias("_carried"))
-    within = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if strictly else 0)
-    inside = cut.withColumn("_within", F.last("_value", ignorenulls=True).over(within))
-    return inside.join(carried, by).withColumn(out, F.coalesce("_within", "_carried")).drop("_block", "_value", "_within", "_carried")
-
-
-def first_after(df: DataFrame, value: Column, order: str, out: str, keys: Sequence[str] = (), strictly: bool = False) -> DataFrame:
-    """df with the first value that isn't null among the rows of the same keys from this one on
-    (strictly: after it)."""
-    cut, by = _blocks(df.withColumn("_value", value), order, keys)
-    firsts = cut.groupBy(*by).agg(F.min_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_first"))
-    after = Window.partitionBy(*keys).orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
-    carried = firsts.select(*by, F.first("_first", ignorenulls=True).over(after).alias("_carried"))
-    within = Window.partitionBy(*by).orderBy(order).rowsBetween(1 if strictly else 0, Window.unboundedFollowing)
-    inside = cut.withColumn("_within", F.first("_value", ignorenulls=True).over(within))
-    return inside.join(carried, by).withColumn(out, F.coalesce("_within", "_carried")).drop("_block", "_value", "_within", "_carried")
+    return scan(df, order, keys, **{out: ("sum", value)})
 
 
 def numbered(df: DataFrame, order: Sequence[str], scratch: Scratch, name: str, out: str, total: tuple[str, str] | None = None) -> DataFrame:
