@@ -53,3 +53,9 @@ def collection_size(reads: DataFrame) -> DataFrame:
 def read_lengths(reads: DataFrame) -> DataFrame:
     """(read_id, length) with the terminator."""
     return reads.select("read_id", (F.coalesce(F.length("seq"), F.lit(0)) + 1).cast("long").alias("length"))
+
+
+def read_ranges(starts: DataFrame) -> DataFrame:
+    """(read_id, first_pos, last_pos): the text positions of each read's symbols; null for empty reads."""
+    some = F.when(F.length("seq") > 0, F.col("start_pos"))
+    return starts.select("read_id", some.alias("first_pos"), (some + F.length("seq") - 1).alias("last_pos"))

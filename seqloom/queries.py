@@ -167,6 +167,11 @@ def valid_positions(spark, d):
     return coords.valid_positions(coords.with_starts(bind.name_reads(spark, d), Scratch(spark)), K_NAME)
 
 
+@query(f"WITH {_DNA}, {_STARTS.format('dna')} SELECT read_id, CASE WHEN length(seq) > 0 THEN start_pos END AS first_pos, CASE WHEN length(seq) > 0 THEN start_pos + length(seq) - 1 END AS last_pos FROM starts")
+def read_ranges(spark, d):
+    return coords.read_ranges(coords.with_starts(bind.dna_reads(spark, d), Scratch(spark)))
+
+
 @query("SELECT sum(length(text) + 1)::bigint AS total_length, count(*)::bigint AS n_reads, max(length(text))::bigint AS max_length FROM documents")
 def collection_size(spark, d):
     return coords.collection_size(bind.text_reads(spark, d))

@@ -65,3 +65,8 @@ def write_fasta(reads: DataFrame, path: str, width: int = 70) -> None:
 def write_fastq(reads: DataFrame, path: str) -> None:
     """FASTQ records of reads(name, seq, quality)."""
     reads.select(F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), "quality").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_read(reads: DataFrame, read_id: int, path: str) -> None:
+    """A text file of one read."""
+    reads.where(F.col("read_id") == read_id).select("seq").write.mode("overwrite").text(path)

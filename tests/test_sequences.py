@@ -152,3 +152,23 @@ def test_line_and_number_files(spark, tmp_path):
     (tmp_path / "n").mkdir()
     (tmp_path / "n" / "x.bin").write_bytes(struct.pack("<3I", 7, 0, 4294967295))
     assert rows(src.read_integers(spark, str(tmp_path / "n")), "i", "c") == [(0, 7), (1, 0), (2, 4294967295)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from seqloom.__main__ import main, query_totals
+
+    (tmp_path / "reads.txt").write_text("GATTACAGATTACA\nTGTAATCTGTAATC\n\n")
+    source, made = str(tmp_path / "reads.txt"), str(tmp_path / "index")
+    main(["build", "-k", "3", "-s", "8", source, made])
+    index = store.load(spark, made)
+    assert index.describe().first().asDict() == {"version": 17, "k": 3, "total_length": 31, "n_reads": 3, "max_length": 14}
+    totals = query_totals(index, 1000).first()
+    assert totals.asDict() == {"n_queries": 24, "q1": 24, "q2": 24, "q3": 44, "q4": 44}
+    main(["grep", "-n", "2", "GATTACA", source])
+    main(["profile", "-r", made, "0"])
+    main(["merge", made, made, str(tmp_path / "both")])
+    assert store.load(spark, str(tmp_path / "both")).stats.where("kmer = 'AGA'").first()["q4"] == 2
+    main(["bwt", source, str(tmp_path / "bwt")])
+    assert "GATTACAGA" in capsys.readouterr().out and spark.read.parquet(str(tmp_path / "bwt")).count() == 31
+    src.write_read(index.reads, 1, str(tmp_path / "one"))
+    assert [x.value for x in spark.read.text(str(tmp_path / "one")).collect()] == ["TGTAATCTGTAATC"]
