@@ -28,8 +28,9 @@ LINK_BITS = 3
 SHINGLE_WORDS = 3
 #: Fingerprints that the driver sees to grow the shards' tree: at most so many, and a quarter of all.
 SAMPLE = 100_000
-#: Fingerprints at home in a shard, about, and the least of the sample's in a leaf.
-SHARD_ROWS, SAMPLE_LEAF = 8_192, 16
+#: Fingerprints at home in a shard, about: its own trees take a second over so many, and each level of the
+#: tree over shards sends more of them to several. The least of the sample's in a leaf.
+SHARD_ROWS, SAMPLE_LEAF = 131_072, 16
 #: Rows of a shard above which it is dealt to several tasks, each with two parts of it.
 TASK_ROWS = 400_000
 #: Pairs that are compared at once.
