@@ -18,7 +18,7 @@ def arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="seqloom", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
     build = commands.add_parser("build", help="index the lines of a file")
-    build.add_argument("-k", "--gk", type=int, required=True, help="length of the k-mers, 3 at least")
+    build.add_argument("-k", "--length", type=int, required=True, help="length of the k-mers, 3 at least")
     build.add_argument("-s", "--sample-rate", type=int, help="accepted and without effect: no suffix array is sampled")
     build.add_argument("input")
     build.add_argument("output")
@@ -67,9 +67,9 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("seqloom").getOrCreate()
     began = time.time()
     if given.command == "build":
-        if given.gk < 3:
+        if given.length < 3:
             raise SystemExit("k must be 3 at least")
-        store.save(store.build(read_lines(spark, given.input), given.gk, Scratch(spark)), given.output)
+        store.save(store.build(read_lines(spark, given.input), given.length, Scratch(spark)), given.output)
     elif given.command == "query":
         query_totals(store.load(spark, given.index), given.nqueries).show()
     elif given.command == "profile":
