@@ -40,7 +40,7 @@ BLOCK = 65_536
 #: Ids after which a writer closes its file. A document is never split.
 FILE_IDS = 4_000_000
 #: New words after which a Python worker forgets those that it has not met since it last forgot.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Marks that are parted from a word of letters before them.
 MARKS = (".", ",", ";", ":", "!", "?")
 
@@ -175,7 +175,9 @@ class WordTokenizer(dict):
             body = word[:-1] if word[-1:] in self.marks else word
             # Lower case may bring marks; a final sigma's depends on its place.
             if body.isalpha() and (body.isascii() or body.lower().isalpha() and "\u03a3" not in body):
-                ids = self.letters(body) + (self.marks[word[-1]] if len(body) < len(word) else b"")
+                ids = self.letters(body)
+                if len(body) < len(word):
+                    ids += self.marks[word[-1]]
             else:
                 ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         if len(word) <= 100:
