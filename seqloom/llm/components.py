@@ -23,14 +23,14 @@ def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
     state, turn = _state(edges), 0
     while state[0]:
         turn += 1
-        both = scratch.keep(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), f"both-{turn}")
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"least-{turn}")
         large = scratch.keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"large-{turn}")
         least = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")), f"lower-{turn}")
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = scratch.keep(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"edges-{turn}")
         now = _state(after)
-        for name in ("both", "least", "large", "lower"):
+        for name in ("least", "large", "lower"):
             scratch.drop(f"{name}-{turn}")
         scratch.drop(f"edges-{turn - 1}")
         edges, before, state = after, state, now

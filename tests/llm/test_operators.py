@@ -216,12 +216,12 @@ def test_edit_distance_and_alignment():
 
 
 def line_print(line):
-    values = []
-    for word in line.encode().split():
+    values, words = [], line.encode().split()
+    for word in [x for x in words if len(x) > lines.SHORT] or words:
         value = 0
         for place, byte in enumerate(word):
             value ^= int(lines.BYTES[place % 64, byte])
-        values.append(value)
+        values.append(int(lines._mixed(np.array([value], dtype=np.uint64))[0]))
     return sum((2 * sum(v >> b & 1 for v in values) > len(values)) << b for b in range(64))
 
 
