@@ -122,6 +122,19 @@ def doc_key(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))
 
 
+#: Rows of an Arrow batch of texts, which are long, and of rows of a few numbers.
+TEXT_ROWS, SLIM_ROWS = 500, 10_000
+
+
+def batches_of(spark: SparkSession, rows: int) -> None:
+    """Let Spark hand Python workers that many rows at a time from now on.
+
+    The buffers of a batch stand in the JVM and in the worker at once, so their size is what bounds
+    an executor's memory. Results don't depend on it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 _state: dict[Any, Any] = {}
 
 

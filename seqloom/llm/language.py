@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import slices
-from .common import Scratch, doc_key, task, worker_state
+from .common import TEXT_ROWS, Scratch, batches_of, doc_key, task, worker_state
 
 LETTERS = r"[\p{L}\p{M}]+"
 UNKNOWN = "und"
@@ -140,6 +140,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", lang_out:
     are all if the model knows no language; of languages with equal scores the first is taken.
     Columns that are named like the results are replaced.
     """
+    batches_of(docs.sparkSession, TEXT_ROWS)
     rest = docs.drop(lang_out, score_out)
     schema = rest.withColumn(lang_out, F.lit("")).withColumn(score_out, F.lit(0.0)).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size has a bound: words, grams and languages

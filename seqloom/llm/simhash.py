@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import SLICE, slices
-from .common import Scratch, task, worker_state
+from .common import SLIM_ROWS, TEXT_ROWS, Scratch, batches_of, task, worker_state
 from .components import Links, connected
 
 LINK_BITS = 3
@@ -210,7 +210,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
+    batches_of(docs.sparkSession, TEXT_ROWS)
     marked = scratch.keep(fingerprints(slim, words=words), "marked")
+    batches_of(docs.sparkSession, SLIM_ROWS)
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     distinct = scratch.keep(marked.groupBy("fingerprint").agg(F.min(place).alias("place")), "distinct")
     found = connected(fingerprint_links(distinct.select("fingerprint"), scratch, bits=bits), scratch)
