@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_file, task, write_file
+from .common import TEXT_ROWS, Scratch, batches_of, read_file, task, write_file
 
 # Fixed values of the formats: the header fields of either version, and the profile of revisits.
 ARC_FIELDS = {
@@ -317,6 +317,7 @@ def with_referred_key(records: DataFrame) -> DataFrame:
 def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """pages through ARC and WARC archives and back: a row per record, without the payloads."""
     scratch = Scratch(spark, "archives")
+    batches_of(spark, TEXT_ROWS)
     arcs = scratch.keep(write_arc(pages, scratch.path("arc")), "arcs")
     warcs = scratch.keep(convert(arcs, scratch.path("warc")), "warcs")
     scratch.drop("arc")
