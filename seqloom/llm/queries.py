@@ -177,7 +177,7 @@ QUERIES["op2_neighbours"] = op2_neighbours
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), grams=True)
 
 
 QUERIES["op5_lines"] = op5_lines

@@ -1,0 +1,84 @@
+"""Fuzzy lines by character n-grams against brute-force edit similarity."""
+
+import random
+
+import pytest
+
+from seqloom.llm import line_grams, lines
+
+SYLLABLES = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve"]
+
+
+def line_of(draw, n):
+    return " ".join("".join(draw.choice(SYLLABLES) for _ in range(draw.randrange(1, 5))) for _ in range(n))
+
+
+def one_letter(draw, line):
+    at = draw.choice([k for k, c in enumerate(line) if c != " "])
+    return line[:at] + draw.choice("qxz") + line[at + 1 :]
+
+
+def words_replaced(share):
+    def change(draw, line):
+        words = line.split(" ")
+        for k in draw.sample(range(len(words)), max(1, int(share * len(words)))):
+            words[k] = line_of(draw, 1)
+        return " ".join(words)
+
+    return change
+
+
+def letters_changed(draw, line):
+    for _ in range(max(1, len(line) // 20)):
+        line = one_letter(draw, line)
+    return line
+
+
+EDITS = {"one letter": one_letter, "one word": words_replaced(0), "a tenth of the words": words_replaced(0.1), "a twentieth of the letters": letters_changed}
+
+
+def candidate(a, b):
+    rows, kinds, sizes, bands, prints = line_grams.sketches(f"{a}\n{b}", lines.SIMILARITY)
+    for k in set(kinds[rows == 0]) & set(kinds[rows == 1]):
+        pair = [int(((rows == r) & (kinds == k)).nonzero()[0][0]) for r in (0, 1)]
+        for band in range(line_grams.BANDS):
+            near = line_grams.candidates(prints[pair], sizes[pair], kinds[pair] * line_grams.BANDS + band, lines.SIMILARITY)
+            if bands[pair[0], band] == bands[pair[1], band] and near(pair[0] * 0, pair[1] * 0 + 1):
+                return True
+    return False
+
+
+@pytest.mark.parametrize("least,most", [(2, 4), (5, 9), (10, 19), (20, 39), (40, 79), (80, 159)])
+def test_recall_by_length(least, most):
+    draw, low = random.Random(3), 0.9 if least > 4 else 0.8
+    for name, edit in EDITS.items():
+        found = []
+        while len(found) < 150:
+            a = line_of(draw, draw.randrange(least, most + 1))
+            b = edit(draw, a)
+            if a == b or not lines.alike(a, b):
+                a = b = ""
+                if least == 2 and name != "one letter" and draw.random() < 0.02:
+                    break
+                continue
+            found.append(candidate(a, b))
+        if found:
+            print(f"{least}-{most} words, {name}: {sum(found)} of {len(found)}")
+            assert sum(found) >= low * len(found), name
+
+
+@pytest.mark.parametrize("task_rows", [50_000, 5])
+def test_edited_lines_go(spark, monkeypatch, task_rows):
+    monkeypatch.setattr(lines, "TASK_ROWS", task_rows)
+    draw = random.Random(5)
+    base = [line_of(draw, n) for n in (6, 8, 12, 20, 30, 50, 90) for _ in range(6)]
+    edited = [one_letter(draw, x) for x in base]
+    unlike = [line_of(draw, 12) for _ in range(20)]
+    cjk = "東京都の天気は晴れで気温は二十度まで上がる見込みです"
+    texts = ["\n".join(base), "\n".join([" " + x.upper() + " !" for x in base]), "\n".join(edited), "\n".join(unlike), cjk, cjk.replace("晴", "雨"), None, "", "ab\nac\n---"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {x.doc_id: x.text for x in lines.deduplicate(df, grams=True).collect()}
+    assert found[0] == texts[0] and found[3] == texts[3] and found[1] == ""
+    assert len([x for x in found[2].split("\n") if x]) <= 1  # by the words' SimHash most of them stay
+    assert found[4] == cjk and found[5] == "" and found[6] is None and found[8] == texts[8]
+    assert lines.deduplicate(df.limit(0), grams=True).count() == 0
