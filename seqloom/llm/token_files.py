@@ -13,10 +13,11 @@ word at which it starts; then the words. Documents stand in ascending order of t
 from __future__ import annotations
 
 import itertools
+import json
 import os
+import re
 from array import array
 from collections.abc import Callable, Iterator
-from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,19 @@ BLOCK = 65_536
 FILE_IDS = 4_000_000
 #: New words after which a Python worker forgets those that it has not met since it last forgot.
 REMEMBERED = 500_000
-#: Marks that are parted from a word of letters before them.
-MARKS = (".", ",", ";", ":", "!", "?")
+#: The steps and the kind of model with which a text's ids are those of its words.
+KNOWN_STEPS = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+]
+KNOWN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+#: Words that are one piece of letters and one of ASCII marks, if any. Normalisation leaves these letters
+#: as they are, and the lower case of each is one of them, in any version of Unicode; words of other
+#: characters are left to the library.
+LETTERS_MARKS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-/:-@\\[-`{-~]*)")
 
 
 def needed(ids: np.ndarray) -> np.ndarray:
@@ -153,9 +165,10 @@ class TokenFile:
 class WordTokenizer(dict):
     """The ids that the library gives a whole text, found word by word.
 
-    The tokenizer must drop white space and never join what it parts (as the word_bpe files do):
-    then a text's ids are those of its words in turn. As a dict it holds the ids of words, as
-    32-bit numbers, and finds those of a new word when it is asked for them.
+    A tokenizer that drops white space and never joins what it parts (as KNOWN_STEPS and the
+    word_bpe files do) gives a text the ids of its words in turn; with any other, the library
+    encodes whole texts. As a dict it holds the ids of words, which are bytes, as 32-bit numbers,
+    and finds those of a new word when it is asked for them.
     """
 
     def __init__(self, path: str):
@@ -164,46 +177,50 @@ class WordTokenizer(dict):
 
         super().__init__()
         self.tokenizer, self.older = Tokenizer.from_file(path), {}
-        self.model, self.marks = self.tokenizer.model, {x: array("I", self.tokenizer.encode(x).ids).tobytes() for x in MARKS}
+        with open(path, "rb") as file:
+            steps = json.load(file)
+        model = {k: steps["model"].get(k) for k in KNOWN_MODEL}
+        # No added token may lie in a word of letters and marks, or reach over blanks.
+        plain = all(re.search(r"[^A-Za-z\s][A-Za-z]", x["content"]) and not re.search(r"\s", x["content"]) and not (x["lstrip"] or x["rstrip"] or x["normalized"]) for x in steps["added_tokens"])
+        self.by_words = plain and model == KNOWN_MODEL and [steps["normalizer"], steps["pre_tokenizer"]] == KNOWN_STEPS
+        self.model = self.tokenizer.model
         # Bytes stand in the vocabulary as printable characters: themselves, or from U+0100 on in turn.
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         self.shown = dict(zip([b for b in range(256) if b not in shown], range(0x100, 0x200)))
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            body = word[:-1] if word[-1:] in self.marks else word
-            # Lower case may bring marks; a final sigma's depends on its place.
-            if body.isalpha() and (body.isascii() or body.lower().isalpha() and "\u03a3" not in body):
-                ids = self.letters(body)
-                if len(body) < len(word):
-                    ids += self.marks[word[-1]]
+            if word.isalpha():  # of bytes, this is true of ASCII letters alone
+                body, low = word, word.lower()
+            elif found := LETTERS_MARKS.fullmatch(word.decode()):
+                body, low = found[1].encode(), found[1].lower().encode()
             else:
-                ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+                body = low = b""
+            if not body:
+                ids = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+            elif low == word:
+                ids = self.letters(low)
+            else:  # words that differ in case or in the marks after them share the work
+                ids = self[low] + self[word[len(body) :]] if len(body) < len(word) else self[low]
         if len(word) <= 100:
             self[word] = ids
         return ids
 
-    def letters(self, word: str) -> bytes:
-        """The ids of a word of letters alone, which is one piece: normalised as the tokenizer
-        does, and merged by its model."""
-        if word.isascii():
-            word = word.lower()
-        else:
-            word = normalize("NFC", word).lower().encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
-        return array("I", [x.id for x in self.model.tokenize(word)]).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as 32-bit numbers."""
+    def letters(self, word: bytes) -> bytes:
+        """The ids of a word of LETTERS in lower case, which is one piece, merged by the model."""
+        text = word.decode() if word.isascii() else word.decode("latin-1").translate(self.shown)
+        return array("I", [x.id for x in self.model.tokenize(text)]).tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """For each text, in UTF-8, its ids as 32-bit numbers."""
+        if not self.by_words:
+            return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch([x.decode() for x in texts], add_special_tokens=False)]
         if len(self) > REMEMBERED:
             self.older = dict(self)
             self.clear()
-        find, out = self.__getitem__, []
-        for text in texts:
-            for blank in "\t\n\v\f\r":
-                text = text.replace(blank, " ")
-            out.append(b"".join(map(find, text.split(" "))))
-        return out
+        find = self.__getitem__
+        return [b"".join(map(find, x.split())) for x in texts]  # bytes are split at ASCII blanks alone
 
 
 def _loaded(path: str) -> WordTokenizer:
@@ -238,10 +255,9 @@ def write(docs: DataFrame, path: str, *, vocabulary: str, end_id: int | None, id
             return pa.RecordBatch.from_pydict({"file": [name], "part": [part], "seq": [seq], "n_docs": [len(keys)], "n_ids": [len(ids)]})
 
         for batch in batches:
-            lengths = [n or 0 for n in pc.binary_length(batch.column(1)).to_pylist()]
-            for a, b in slices(lengths, SLICE):
-                found = batch.slice(a, b - a)
-                for key, ids in zip(found.column(0).to_pylist(), tokenizer.encode([x or "" for x in found.column(1).to_pylist()])):
+            texts = pc.fill_null(batch.column(1), "").cast(pa.binary())
+            for a, b in slices(pc.binary_length(texts).to_pylist(), SLICE):
+                for key, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), tokenizer.encode(texts.slice(a, b - a).to_pylist())):
                     keys.append(key)
                     held.append(ids + end)
                     total += len(ids) // 4
