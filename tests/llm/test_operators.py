@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm import components, language, lines, mixing, neighbours, quality, sharding, simhash, token_files, warc
+from seqloom.llm import components, language, mixing, neighbours, quality, sharding, simhash, token_files, warc
 from seqloom.llm.byte_bpe import ByteBpe, decode, encode
 from seqloom.llm.common import Scratch, doc_key
 
@@ -191,104 +191,6 @@ def quality_words(text):
     return [x for x in re.split(r"[\x20\x09-\x0D]+", text.lower()) if x]
 
 
-# 5 lines
-
-
-def test_edit_distance_and_alignment():
-    def plain(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    draw = random.Random(2)
-    for _ in range(1500):
-        a, b = ("".join(draw.choice("ab c") for _ in range(draw.randrange(14))) for _ in range(2))
-        most, want = draw.randrange(15), plain(a, b)
-        got = lines.edit_distance(a, b, most)
-        assert got == want if want <= most else got > most
-        x = [draw.choice(["ab", "c", "abc"]) for _ in range(draw.randrange(1, 9))]
-        y = [*x[: draw.randrange(9)], "q", *x[draw.randrange(9) :]]
-        assert lines.alignment(x, y, 10**6) >= plain(" ".join(x), " ".join(y))
-
-
-def line_print(line):
-    values, words = [], line.encode().split()
-    for word in [x for x in words if len(x) > lines.SHORT] or words:
-        value = 0
-        for place, byte in enumerate(word):
-            value ^= int(lines.BYTES[place % 64, byte])
-        values.append(int(lines._mixed(np.array([value], dtype=np.uint64))[0]))
-    return sum((2 * sum(v >> b & 1 for v in values) > len(values)) << b for b in range(64))
-
-
-def test_line_fingerprints():
-    many = [*some_texts(20), "", " ", "one", "a b " * 700, "x" * 200, "é ß"]
-    text = "\n".join(many)
-    numbers, prints = lines.line_fingerprints(text.encode())
-    split = text.split("\n")
-    assert numbers.tolist() == [k for k, x in enumerate(split) if x.strip()]
-    assert prints.tolist() == [line_print(split[k]) for k in numbers.tolist()]
-    assert len(lines.line_fingerprints(b"")[0]) == 0
-
-
-def lines_brute(rows):
-    from seqloom.llm.simhash import distance
-
-    norm = lambda x: re.sub(r"[\W_]+", " ", x.lower()).strip()
-    first, occurrences = {}, []
-    for doc, text in rows:
-        for n, line in enumerate((text or "").split("\n")):
-            if norm(line):
-                first.setdefault(norm(line), (doc, n))
-    keys = list(first)
-    prints = np.array([line_print(k) for k in keys], dtype=np.uint64)
-    parent = list(range(len(keys)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(keys)):
-        for j in range(i):
-            if distance(prints[i : i + 1], prints[j])[0] <= 3 and lines.alike(keys[i], keys[j]):
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
-    best = {}
-    for k, key in enumerate(keys):
-        best[find(k)] = min(best.get(find(k), first[key]), first[key])
-    stay = set(best.values())
-    return {doc: None if text is None else "\n".join(x for n, x in enumerate(text.split("\n")) if not norm(x) or (doc, n) in stay) for doc, text in rows}
-
-
-@pytest.mark.parametrize("task_rows", [50_000, 5])
-def test_lines(spark, monkeypatch, task_rows):
-    monkeypatch.setattr(lines, "TASK_ROWS", task_rows)
-    draw = random.Random(8)
-    base = [" ".join("".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(40)) for _ in range(12)]
-
-    def near(line):
-        words = line.split(" ")
-        words[draw.randrange(40)] = draw.choice(["x", "changed", "yy zz"])
-        return " ".join(words)
-
-    texts = ["\n".join(draw.choice([x, near(x), "", "---", "Short one.", "short ONE"]) for x in draw.sample(base, 4)) for _ in range(40)] + ODD
-    df = docs_of(spark, texts).withColumn("n_kept", F.lit("old"))
-    found = lines.deduplicate(df)
-    assert set(found.columns) == {*df.columns, "n_lines"}
-    assert {x.doc_id: x.text for x in found.collect()} == lines_brute(list(enumerate(texts)))
-
-
-def test_lines_of_repeated_and_null_rows(spark):
-    df = spark.createDataFrame([(1, "a b\nc"), (1, "a b\nc"), (None, "a b\nd"), (2, None)], "doc_id long, text string")
-    assert sorted(((x.doc_id, x.text) for x in lines.deduplicate(df).collect()), key=str) == sorted([(1, "a b\nc"), (1, "a b\nc"), (None, "d"), (2, None)], key=str)
-    assert lines.deduplicate(df.limit(0)).count() == 0
-
-
 # 6 near-duplicates
 
 
