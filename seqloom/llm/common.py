@@ -112,6 +112,12 @@ def read_file(uri: str) -> bytes:
         return found.read()
 
 
+def column(name: str, of: str = "") -> Column:
+    """The column of that name, whatever characters are in it; with of, the field of that struct."""
+    quoted = f"`{name.replace('`', '``')}`"
+    return F.col(f"{of}.{quoted}" if of else quoted)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

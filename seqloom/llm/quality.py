@@ -14,23 +14,23 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, Scratch
+from .common import BLANK, Scratch, column
 
-#: Character classes that are counted beside blanks and symbols; all other characters are the last class, letters mostly.
-CLASSES = {"digits": r"[0-9]+", "capitals": r"[A-Z]+", "stops": r"[.,;:!?'\"()\-]+"}
-SYMBOLS = r"[#*$%&|<>]+"
+#: Character classes that are counted beside blanks, as bodies of bracket expressions; all other characters
+#: are the last class, small letters mostly. No character is in two of them.
+CLASSES = {"digits": r"\p{N}", "capitals": r"\p{Lu}", "stops": r".,;:!?'\"()\-", "symbols": r"#*$%&|<>@=+~^_/\\{}\[\]`"}
+#: The symbols of the base rules.
+SYMBOLS = r"#*$%&|<>"
 
 
 @dataclass(frozen=True)
 class Limits:
-    """common: words of a language's histogram, of at most common_length characters (the words that
-    mark a language are short). A class histogram is judged from min_chars characters on, a word
-    histogram from min_words words on; each passes up to its distance. That of words has to be below
-    what a document without any common word has (on sf0.1 0.42 to 0.45 by language), and above what
-    most of a language's own documents have (0.9 quantiles there: 0.27 to 0.30)."""
-
-    common: int = 20
-    common_length: int = 6
+    """common: words of a language's histogram. A class histogram is judged from min_chars characters
+    on, a word histogram from min_words words on; each passes up to its distance. That of words has
+    to be below what a document without any common word has (on sf0.1 0.43 to 0.46 by language), and
+    above what most of a language's own documents have (0.9 quantiles there: 0.27 to 0.30)."""
+
+    common: int = 64
     min_chars: int = 200
     min_words: int = 80
     class_distance: float = 0.3
@@ -46,17 +46,15 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK + "+"), "")
 
 
-def base_measures(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with _words and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
+def base_measures(text: Column, words: Column, hashes: Column, marked: Column) -> dict[str, Column]:
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text, by its words, the
+    hashes of their windows of three, and its characters of CLASSES.
 
     Repeats are found within the row: hashes of the word windows are sorted with their positions,
     so equal ones stand side by side; each repeated window covers its words up to the next one.
     Two different windows of a text are taken for equal with a probability of 2^-64.
     """
-    text, words = F.coalesce(F.col(text_col), F.lit("")), F.col("_words")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    windows = F.when(F.size(words) >= 3, F.sequence(F.lit(0), F.size(words) - 3)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(windows, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
 
     def twins(order: Column) -> Column:
         kept = F.filter(order, lambda x, k: (x["h"] == F.get(order, k - 1)["h"]) | (x["h"] == F.get(order, k + 1)["h"]))
@@ -65,62 +63,60 @@ def base_measures(docs: DataFrame, text_col: str) -> DataFrame:
     def covered(at: Column) -> Column:
         return F.aggregate(F.transform(at, lambda i, k: F.least(F.lit(3), F.coalesce(F.get(at, k + 1) - i, F.lit(3)))), F.lit(0), lambda a, b: a + b)
 
-    placed = F.sort_array(F.transform(F.col("_hashes"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    repeated = F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), let(placed, twins)).otherwise(0)
-    measured = docs.withColumn("_words", words_of(F.col(text_col))).withColumn("_hashes", hashes)
-    return measured.withColumns({
+    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    repeated = F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), let(placed, twins)).otherwise(0)
+    return {
         "n_words": F.size(words).cast("long"),
-        "word_chars": word_chars(text),
-        "n_symbols": symbols(text),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": _of(marked, SYMBOLS),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": repeated.cast("long"),
-    }).drop("_hashes")
+    }
 
 
-def word_chars(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, BLANK + "+", "")).cast("long")
+def windows_of(words: Column) -> Column:
+    """Hashes of each three words in turn."""
+    at = F.when(F.size(words) >= 3, F.sequence(F.lit(0), F.size(words) - 3)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
 
 
-def symbols(text: Column) -> Column:
-    return (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long")
+def _of(text: Column, characters: str) -> Column:
+    """How many characters of a text are in the bracket expression."""
+    return (F.length(text) - F.length(F.regexp_replace(text, f"[{characters}]+", ""))).cast("long")
 
 
-def class_counts(text: Column, in_words: Column, of_symbols: Column) -> Column:
-    """Characters of each class: CLASSES, blanks, symbols, and what is left."""
-    text = F.coalesce(text, F.lit(""))
-    counts = [(F.length(text) - F.length(F.regexp_replace(text, x, ""))).cast("long") for x in CLASSES.values()]
-    rest = in_words - of_symbols
-    for x in counts:
-        rest = rest - x
-    return F.array(*counts, F.length(text) - in_words, of_symbols, rest)
+def marked_of(text: Column) -> Column:
+    """The characters of CLASSES alone: one pass over the text, so that each class is counted in a
+    short rest of it."""
+    return F.regexp_replace(text, f"[^{''.join(CLASSES.values())}]+", "")
+
 
+#: Parts into which the words of a language are dealt to find the most frequent ones.
+SALTS = 32
 
-def references(docs: DataFrame, limits: Limits, *, text_col: str, lang_col: str) -> DataFrame:
-    """A row for each language, and one for all documents (lang null): the classes' shares, the
-    common words and their shares.
 
-    All documents count. Classes and words are added up before the shuffle; of each language the
-    limits.common most frequent words are kept, ties by code point.
+def common_words(docs: DataFrame, scratch: Scratch, limits: Limits, *, text_col: str, lang_col: str) -> DataFrame:
+    """A row for each language, and one for all documents (lang null): the limits.common most
+    frequent words of lower-cased texts, ties by code point, and their shares of all words.
+
+    All documents count. Words are added up before the shuffle; a language's words are dealt to
+    SALTS parts, and its most frequent ones are among those of the parts.
     """
-    scratch = Scratch(docs.sparkSession, "references")
-    used = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    n = len(CLASSES) + 3
-    text = F.coalesce("text", F.lit(""))
-    counted = used.select("lang", class_counts(text, word_chars(text), symbols(text)).alias("c"))
-    classes = scratch.keep(counted.groupBy("lang").agg(*[F.sum(F.col("c")[k]).alias(f"c{k}") for k in range(n)]), "classes")
-    words = used.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).where(F.length("word") <= limits.common_length).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = docs.select(column(lang_col).alias("lang"), F.explode(words_of(F.lower(column(text_col)))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     words = scratch.keep(words, "words")
-    every = F.lit(None).cast("string").alias("lang")
-    words = words.where("lang IS NOT NULL").unionByName(words.groupBy("word").agg(F.sum("n").alias("n")).select(every, "word", "n"))
-    classes = classes.where("lang IS NOT NULL").unionByName(classes.select(every, *[F.sum(f"c{k}").alias(f"c{k}") for k in range(n)]))
-    ranked = words.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= limits.common)
+    every = words.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "word", "n")
+    words = words.where("lang IS NOT NULL").unionByName(every)
+
+    def first(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "word"))).where(F.col("place") <= limits.common)
+
+    salted = first(words.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(SALTS))), "lang", "salt").drop("salt")
+    ranked = first(salted, "lang")
     common = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "word", "n"))).alias("top"))
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    whole = sum((F.col(f"c{k}") for k in range(1, n)), F.col("c0"))
-    shares = F.array(*[F.coalesce(F.col(f"c{k}") / whole, F.lit(0.0)) for k in range(n)])
-    joined = classes.alias("a").join(common.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang"))).join(totals.alias("t"), F.col("a.lang").eqNullSafe(F.col("t.lang")))
-    out = joined.select(F.col("a.lang").alias("lang"), shares.alias("class_shares"), F.transform("top", lambda x: x["word"]).alias("common"), F.transform("top", lambda x: x["n"] / F.col("total")).alias("shares"))
-    return scratch.keep(out, "references")
+    joined = common.alias("c").join(totals.alias("t"), F.col("c.lang").eqNullSafe(F.col("t.lang")))
+    out = joined.select(F.col("c.lang").alias("lang"), F.transform("top", lambda x: x["word"]).alias("common"), F.transform("top", lambda x: x["n"] / F.col("total")).alias("shares"))
+    return scratch.keep(out, "common")
 
 
 def _term(p: Column, q: Column) -> Column:
@@ -142,14 +138,14 @@ def class_distance(counts: Column, shares: Column) -> Column:
     return let(whole, lambda n: _distance(_total(F.zip_with(counts, shares, lambda c, q: _term(c / n, q)))))
 
 
-def word_distance(words: Column, common: Column, shares: Column, length: int) -> Column:
-    """Of the histogram of words of at most length characters: the common words, and one bin of
-    all others.
+def word_distance(words: Column, common: Column, shares: Column, known: list[str] | None = None) -> Column:
+    """Of the histogram of words: the common words, and one bin of all others.
 
-    Only the bins that the document has are visited: an absent one adds half its share.
+    Only the bins that the document has are visited: an absent one adds half its share. known are
+    the common words of all languages, as a hash set: most words aren't among them.
     """
-    def places(short: Column) -> Column:
-        return F.filter(F.transform(short, lambda w: F.array_position(common, F.lower(w)).cast("int")), lambda k: k > 0)
+    low = F.transform(words, F.lower)
+    found = F.transform(low if known is None else F.filter(low, lambda w: w.isin(known)), lambda w: F.array_position(common, w).cast("int"))
 
     def runs(order: Column, n: Column) -> Column:
         ends = F.filter(F.transform(order, lambda x, k: F.when(F.get(order, k + 1) == x, F.lit(0)).otherwise(k + 1)), lambda k: k > 0)
@@ -161,44 +157,67 @@ def word_distance(words: Column, common: Column, shares: Column, length: int) ->
         known = _total(shares)
         return _distance(known / 2 + present + _term(1 - F.size(order) / n, F.greatest(1 - known, F.lit(0.0))))
 
-    def judged(short: Column) -> Column:
-        return let(F.sort_array(places(short)), lambda order: let(F.greatest(F.size(short), F.lit(1)).cast("double"), lambda n: runs(order, n)))
+    places = F.sort_array(F.filter(found, lambda k: k > 0))
+    return let(places, lambda order: let(F.greatest(F.size(words), F.lit(1)).cast("double"), lambda n: runs(order, n)))
 
-    return let(F.filter(words, lambda w: F.length(w) <= length), judged)
 
+#: Languages up to this number are broadcast with their references, and their common words are one set; more
+#: are joined by a shuffle and looked up in their own language's words alone.
+BROADCAST_LANGUAGES = 1_000
 
-#: Languages up to this number are broadcast with their references; more are joined by a shuffle.
-BROADCAST_LANGUAGES = 10_000
 
-
-def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits()) -> DataFrame:
+def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits(), with_text: bool = True) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     class_distance, word_distance and kept.
 
     A document of under 50 words, or with over half of its words in repeated windows of three,
     fails the base rules. The others are kept unless a histogram that is long enough is too far
-    from its language's. A null language, or one that no word stands for, is compared with all
-    documents. A null or empty text has no words and fails. Distances of an empty text are null.
-    Columns that are named like the results are replaced, all others stay.
+    from its language's. A null language is compared with all documents. A null or empty text has
+    no words and fails; its distances are null. Rows that repeat others are judged, and count in the
+    references, each for itself; an empty table gives no rows. Columns that are named like the
+    results are replaced, all others stay. The measures are written to the shared folder once, with
+    the rows: without with_text the text is left out there and in the result.
     """
-    found = references(docs, limits, text_col=text_col, lang_col=lang_col)
-    pooled = found.where("lang IS NULL").first()
-    n = len(CLASSES) + 3
-    pooled = pooled.asDict() if pooled else {"class_shares": [0.0] * n, "common": [], "shares": []}
-    named = found.where("lang IS NOT NULL").select(F.col("lang").alias("_lang"), F.struct("class_shares", "common", "shares").alias("_ref"))
-    if named.count() <= BROADCAST_LANGUAGES:
-        named = F.broadcast(named)
-    kinds = {"class_shares": "array<double>", "common": "array<string>", "shares": "array<double>"}
-    spare = F.struct(*[(F.array(*map(F.lit, pooled[k])) if pooled[k] else F.array()).cast(kind).alias(k) for k, kind in kinds.items()])
+    scratch = Scratch(docs.sparkSession, "quality")
+    common = common_words(docs, scratch, limits, text_col=text_col, lang_col=lang_col)
+    languages = common.count()
+    few = languages <= BROADCAST_LANGUAGES
+    known = sorted({w for x in common.select("common").collect() for w in x[0]}) if few else None
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
-    held = docs.select(*[c for c in docs.columns if c not in names])
-    joined = held.join(named, held[lang_col] == named["_lang"], "left").withColumn("_ref", F.coalesce("_ref", spare)).drop("_lang")
-    measured = base_measures(joined, text_col).withColumn("_classes", class_counts(F.col(text_col), F.col("word_chars"), F.col("n_symbols")))
-    measured = measured.withColumns({
+    held = [c for c in docs.columns if c not in names and (with_text or c != text_col)]
+    rows = docs.select(F.struct(*[column(c) for c in held]).alias("doc"), column(lang_col).alias("lang"), F.coalesce(column(text_col), F.lit("")).alias("text"))  # no name can clash
+    joined = with_reference(rows, common, few).withColumn("words", words_of(F.col("text"))).withColumns({"hashes": windows_of(F.col("words")), "marked": marked_of(F.col("text"))})
+    base = base_measures(F.col("text"), F.col("words"), F.col("hashes"), F.col("marked"))
+    measured = joined.select("doc", "lang", *[x.alias(c) for c, x in base.items()], F.length("text").cast("long").alias("length"), *[_of(F.col("marked"), x).alias(c) for c, x in CLASSES.items()],
+        F.when(F.size("words") > 0, word_distance(F.col("words"), F.col("ref.common"), F.col("ref.shares"), known)).alias("word_distance"))
+    counts = [*[F.col(c) for c in CLASSES], F.col("length") - F.col("word_chars")]
+    rest = F.col("length")
+    for x in counts:
+        rest = rest - x
+    measured = scratch.keep(measured.withColumn("counts", F.array(*counts, rest)).drop(*CLASSES), "measured")
+    shares = scratch.keep(class_shares(measured), "shares")
+    judged = with_reference(measured, shares, few)
+    judged = judged.withColumns({
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-        "class_distance": F.when(F.length(text_col) > 0, class_distance(F.col("_classes"), F.col("_ref.class_shares"))),
-        "word_distance": F.when(F.col("n_words") > 0, word_distance(F.col("_words"), F.col("_ref.common"), F.col("_ref.shares"), limits.common_length)),
+        "class_distance": F.when(F.col("length") > 0, class_distance(F.col("counts"), F.col("ref.shares"))),
     })
-    near = (F.coalesce(F.length(text_col), F.lit(0)) < limits.min_chars) | (F.col("class_distance") <= limits.class_distance)
+    near = (F.col("length") < limits.min_chars) | (F.col("class_distance") <= limits.class_distance)
     alike = (F.col("n_words") < limits.min_words) | (F.col("word_distance") <= limits.word_distance)
-    return measured.withColumn("kept", ~F.col("base_failed") & near & alike).drop("_words", "_classes", "_ref")
+    for name in ("words", "common"):
+        scratch.drop(name)
+    return judged.withColumn("kept", ~F.col("base_failed") & near & alike).select(*[column(c, "doc").alias(c) for c in held], *names)
+
+
+def with_reference(rows: DataFrame, references: DataFrame, few: bool) -> DataFrame:
+    """rows with ref, the row of references with their lang; that without a language if they have none."""
+    refs = references.select(F.col("lang").alias("ref_lang"), F.struct(*[c for c in references.columns if c != "lang"]).alias("ref"))
+    return rows.join(F.broadcast(refs) if few else refs, rows["lang"].eqNullSafe(refs["ref_lang"]), "left").drop("ref_lang")
+
+
+def class_shares(measured: DataFrame) -> DataFrame:
+    """lang and shares: of the characters of each language, and of all (lang null), those of each class."""
+    n = len(CLASSES) + 2
+    sums = measured.groupBy("lang").agg(*[F.sum(F.col("counts")[k]).alias(f"c{k}") for k in range(n)])
+    sums = sums.where("lang IS NOT NULL").unionByName(sums.agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(n)]).select(F.lit(None).cast("string").alias("lang"), *[f"c{k}" for k in range(n)]))
+    whole = sum((F.col(f"c{k}") for k in range(1, n)), F.col("c0"))
+    return sums.select("lang", F.array(*[F.when(whole > 0, F.col(f"c{k}") / whole).otherwise(F.lit(0.0)) for k in range(n)]).alias("shares"))

@@ -132,14 +132,14 @@ QUERIES["op3_language"] = op3_language
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), with_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES["op4_quality"] = op4_quality
 
 _LIMITS = quality.Limits()
-_CLASS_SQL = ", ".join("length(t) - length(regexp_replace(t, '{}', '', 'g'))".format(x.replace("'", "''")) for x in quality.CLASSES.values())
+_CLASS_SQL = ", ".join("length(t) - length(regexp_replace(t, '[{}]', '', 'g'))".format(x.replace("'", "''")) for x in quality.CLASSES.values())
 _HALF = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) ELSE 0 END".format
 ORACLE["op4_quality"] = rf"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
@@ -152,15 +152,16 @@ base AS (
   SELECT w.doc_id, lang, t, ws, len(ws)::bigint AS n_words, coalesce(length(array_to_string(ws, '')), 0)::bigint AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint AS n_symbols,
     coalesce(ln.n, 0)::bigint AS n_dup_lines, coalesce(cov.n, 0)::bigint AS n_repeat_words
   FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN ln USING (doc_id)),
-marks AS (SELECT doc_id, lang, length(t) AS n, [{_CLASS_SQL}, length(t) - word_chars, n_symbols] AS c FROM base),
+marks AS (SELECT doc_id, lang, length(t) AS n, [{_CLASS_SQL}, length(t) - word_chars] AS c FROM base),
 bins AS (SELECT doc_id, lang, n, unnest(list_concat(c, [n - list_sum(c)])) AS c, generate_subscripts(list_concat(c, [n]), 1) AS k FROM marks),
-ref AS (SELECT lang, k, sum(c) / sum(sum(c)) OVER (PARTITION BY lang) AS q FROM bins GROUP BY lang, k),
-cd AS (SELECT doc_id, sqrt(greatest(sum(({_HALF("c / n", "q")} + {_HALF("q", "(c / n)")}) / 2), 0)) AS class_distance FROM bins JOIN ref USING (lang, k) WHERE n > 0 GROUP BY doc_id),
-wc AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(t), '[^\x20\x09-\x0D]+')) AS word FROM d) WHERE length(word) <= {_LIMITS.common_length} GROUP BY lang, word),
+sums AS (SELECT lang, k, sum(c) AS c FROM bins WHERE lang IS NOT NULL GROUP BY lang, k UNION ALL SELECT NULL, k, sum(c) FROM bins GROUP BY k),
+ref AS (SELECT lang, k, c / sum(c) OVER (PARTITION BY lang) AS q FROM sums),
+cd AS (SELECT doc_id, sqrt(greatest(sum(({_HALF("(c / n)", "q")} + {_HALF("q", "(c / n)")}) / 2), 0)) AS class_distance FROM bins b JOIN ref ON b.lang IS NOT DISTINCT FROM ref.lang AND b.k = ref.k WHERE n > 0 GROUP BY doc_id),
+wn AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(t), '[^\x20\x09-\x0D]+')) AS word FROM d) GROUP BY lang, word),
+wc AS (SELECT * FROM wn WHERE lang IS NOT NULL UNION ALL SELECT NULL, word, sum(n) FROM wn GROUP BY word),
 top AS (SELECT lang, word, n / total AS q FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place, sum(n) OVER (PARTITION BY lang) AS total FROM wc) WHERE place <= {_LIMITS.common}),
-dw AS (SELECT doc_id, lower(word) AS word, count(*) AS c FROM (SELECT doc_id, unnest(ws) AS word FROM w) WHERE length(word) <= {_LIMITS.common_length} GROUP BY ALL),
-dn AS (SELECT doc_id, sum(c) AS n FROM dw GROUP BY doc_id),
-met AS (SELECT b.doc_id, q, coalesce(c, 0) / greatest(coalesce(dn.n, 0), 1) AS p FROM base b JOIN top USING (lang) LEFT JOIN dw ON dw.doc_id = b.doc_id AND dw.word = top.word LEFT JOIN dn ON dn.doc_id = b.doc_id),
+dw AS (SELECT doc_id, lower(word) AS word, count(*) AS c FROM (SELECT doc_id, unnest(ws) AS word FROM w) GROUP BY ALL),
+met AS (SELECT b.doc_id, q, coalesce(c, 0) / greatest(n_words, 1) AS p FROM base b JOIN top ON b.lang IS NOT DISTINCT FROM top.lang LEFT JOIN dw ON dw.doc_id = b.doc_id AND dw.word = top.word),
 rest AS (SELECT * FROM met UNION ALL SELECT doc_id, greatest(1 - sum(q), 0), 1 - sum(p) FROM met GROUP BY doc_id),
 wd AS (SELECT doc_id, sqrt(greatest(sum(({_HALF("p", "q")} + {_HALF("q", "p")}) / 2), 0)) AS word_distance FROM rest GROUP BY doc_id),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)

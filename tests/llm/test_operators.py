@@ -178,9 +178,9 @@ def test_quality(spark):
     assert all(found[i].kept for i in range(60)) and not any(found[i].kept for i in range(60, len(texts)))
     # the word histogram of one document against its language's
     mine = [t for i, t in enumerate(texts) if i % 2 == 0 and t]
-    counts = Counter(w for t in mine for w in quality_words(t) if len(w) <= limits.common_length)
+    counts = Counter(w for t in mine for w in quality_words(t))
     top = sorted(counts, key=lambda w: (-counts[w], w.encode()))[: limits.common]
-    own = Counter(w for w in quality_words(texts[0]) if len(w) <= limits.common_length)
+    own = Counter(quality_words(texts[0]))
     p = [own[w] / sum(own.values()) for w in top]
     q = [counts[w] / sum(counts.values()) for w in top]
     assert abs(found[0].word_distance - divergence([*p, 1 - sum(p)], [*q, 1 - sum(q)])) < 1e-9
