@@ -115,7 +115,8 @@ def fit(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col:
     grams = []
     for size in GRAM_SIZES:
         starts = F.when(F.length(marked) >= size, F.sequence(F.lit(1), F.length(marked) - size + 1))
-        cut = words.select("lang", "n", F.explode(F.transform(starts, lambda k, size=size: F.substring(marked, k, F.lit(size)))).alias("gram"))
+        # Not by transform(): a function of two parameters would be given the index as the second.
+        cut = words.select("lang", "n", marked.alias("marked"), F.explode(starts).alias("k")).select("lang", "n", F.substring("marked", F.col("k"), F.lit(size)).alias("gram"))
         grams.append(_log_frequencies(cut.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram", languages))
     model = Model(languages, _log_frequencies(words, "word", languages), grams)
     scratch.drop()
