@@ -3,8 +3,9 @@
 A unit vector is approximated by a sum of one codeword from each of several codebooks, all of the
 full dimension; each codebook is trained on what the ones before it left over. Encoding keeps a
 beam of the best partial sums. A query's products with all codewords are a table, so a
-candidate's score is a few lookups and its stored norm; the best of each chunk are then scored
-exactly on the original vectors.
+candidate's score is a few lookups and its stored norm; the best of each part of the candidates are
+then scored exactly on the original vectors. Parts are dealt by a hash of the vector, so the result
+doesn't depend on how Spark lays out the rows.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ TRAIN_VECTORS = 16_384
 CODEBOOKS, CODEWORDS, BEAM, ROUNDS = 16, 256, 4, 6
 #: Queries that are broadcast at a time.
 QUERY_BLOCK = 4_096
-#: Candidates that are scored at once, and how many of them are scored exactly for each query.
-CHUNK, RERANKED = 8_192, 64
-#: Queries of a block that are scored at once.
-QUERY_STEP = 256
+#: Candidates of a part, about, which are scored at once, and how many of them are scored exactly for each query.
+PART, RERANKED = 8_192, 64
+#: Queries of a block that are scored at once, and vectors that are encoded at once.
+QUERY_STEP, ENCODED = 256, 2_048
 
 
 @dataclass
@@ -52,11 +53,16 @@ class Codebooks:
             codes = np.concatenate([codes[at, origin], word[:, :, None].astype(np.uint8)], axis=2)
         return codes[:, 0], np.linalg.norm(x - rest[:, 0], axis=1).astype(np.float32)
 
-    def scores(self, queries: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    def tables(self, queries: np.ndarray) -> np.ndarray:
+        """The queries' products with all codewords: codebooks x queries x codewords."""
+        return np.matmul(queries[None], self.words.transpose(0, 2, 1))
+
+    @staticmethod
+    def scores(tables: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
         """Approximate cosines, queries x candidates, added up from lookup tables."""
-        total = np.zeros((len(queries), len(codes)), dtype=np.float32)
-        for k, words in enumerate(self.words):
-            total += np.take(queries @ words.T, codes[:, k], axis=1)
+        total = np.zeros((tables.shape[1], len(codes)), dtype=np.float32)
+        for k, table in enumerate(tables):
+            total += np.take(table, codes[:, k], axis=1)
         return total / np.maximum(norms, 1e-12)
 
 
@@ -122,25 +128,28 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
     distinct = first.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     distinct = scratch.keep(distinct, "distinct")
     parts = 1 << 30
-    share = min(parts, int(parts * train_vectors / distinct.count()) + 1)
-    sample = distinct.where(F.pmod(F.xxhash64("h", F.lit("train")), F.lit(parts)) < share).limit(2 * train_vectors).select("v").toArrow()
+    n_distinct = distinct.count()
+    share = min(parts, int(parts * train_vectors / n_distinct) + 1)
+    sample = distinct.where(F.pmod(F.xxhash64("h", F.lit("train")), F.lit(parts)) < share).orderBy("h", "v").limit(2 * train_vectors).select("v").toArrow()
     books = train(unit(matrix(sample.column(0).combine_chunks(), dimension)))
     shared = spark.sparkContext.broadcast(books)  # CODEBOOKS x CODEWORDS x dimension numbers
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), CHUNK // 4):
-                part = batch.slice(start, CHUNK // 4)
-                codes, norms = shared.value.encode(unit(matrix(part.column(1), dimension)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(norms)], names=["ids", "v", "codes", "norm"])
-
-    index = scratch.keep(distinct.select("ids", "v").mapInArrow(encode, "ids array<long>, v array<double>, codes binary, norm float"), "index")
+            for start in range(0, len(batch), ENCODED):
+                part = batch.slice(start, ENCODED)
+                codes, norms = shared.value.encode(unit(matrix(part.column("v"), dimension)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(norms)], names=["part", "ids", "v", "codes", "norm"])
+
+    # Parts are whole in one task and in one order; a part of over PART rows is scored in several steps.
+    dealt = distinct.select(F.pmod(F.xxhash64("h", F.lit("part")), F.lit(-(-n_distinct // PART))).cast("int").alias("part"), "ids", "v")
+    index = scratch.keep(dealt.mapInArrow(encode, "part int, ids array<long>, v array<double>, codes binary, norm float"), "index")
     queries = scratch.keep(named.where("q").select("id", "v").distinct(), "queries")
     blocks = -(-queries.count() // QUERY_BLOCK)
     for block in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id").toArrow()
         mine = spark.sparkContext.broadcast((rows.column(0).to_numpy(), unit(matrix(rows.column(1).combine_chunks(), dimension)) if len(rows) else np.zeros((0, dimension))))
-        found = index.mapInArrow(_scorer(shared, mine, dimension, nearest, reranked), "query_id long, vec_id long, score double")
+        found = index.repartition("part").sortWithinPartitions("part", F.element_at("ids", 1), "v").mapInArrow(_scorer(shared, mine, dimension, nearest, reranked), "query_id long, vec_id long, score double")
         found.write.mode("append").parquet(scratch.path("found"))
     if not blocks:
         return spark.createDataFrame([], schema)
@@ -153,23 +162,45 @@ def _scorer(shared, mine, dimension: int, nearest: int, reranked: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, (names, queries) = shared.value, mine.value
         single = queries.astype(np.float32)
+        tables = [books.tables(single[a : a + QUERY_STEP]) for a in range(0, len(names), QUERY_STEP)]
         best: list[list[tuple[float, int]]] = [[] for _ in names]
-        for batch in batches:
-            for start in range(0, len(batch), CHUNK):
-                part = batch.slice(start, CHUNK)
-                ids, v = part.column(0).to_pylist(), unit(matrix(part.column(1), dimension))
-                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=np.uint8).reshape(len(part), -1)
-                norms, keep = part.column(3).to_numpy(), min(reranked, len(part))
-                for a in range(0, len(names), QUERY_STEP):
-                    rough = books.scores(single[a : a + QUERY_STEP], codes, norms)
-                    near = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
-                    exact = np.einsum("qrd,qd->qr", v[near], queries[a : a + QUERY_STEP])
-                    top = np.argsort(-exact, axis=1, kind="stable")[:, : nearest + 1]
-                    for k in range(len(top)):
-                        own = int(names[a + k])
-                        met = [(-float(exact[k, j]), x) for j in top[k] for x in ids[near[k, j]] if x != own]
-                        best[a + k] = sorted(best[a + k] + met)[:nearest]
+        for part in _parts(batches):
+            ids, v = part.column(1).to_pylist(), matrix(part.column(2), dimension)
+            codes = np.frombuffer(b"".join(part.column(3).to_pylist()), dtype=np.uint8).reshape(len(part), -1)
+            norms, keep = part.column(4).to_numpy(), min(reranked, len(part))
+            for k, table in enumerate(tables):
+                a = k * QUERY_STEP
+                rough = books.scores(table, codes, norms)
+                near = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
+                used, where = np.unique(near, return_inverse=True)
+                exact = np.einsum("qrd,qd->qr", unit(v[used])[where.reshape(near.shape)], queries[a : a + QUERY_STEP])
+                top = np.argsort(-exact, axis=1, kind="stable")[:, : nearest + 1]
+                for i in range(len(top)):
+                    own = int(names[a + i])
+                    met = [(-float(exact[i, j]), x) for j in top[i] for x in ids[near[i, j]] if x != own]
+                    best[a + i] = sorted(best[a + i] + met)[:nearest]
         flat = [(int(names[k]), x, -s) for k, found in enumerate(best) for s, x in found]
         yield pa.RecordBatch.from_pydict({"query_id": [x[0] for x in flat], "vec_id": [x[1] for x in flat], "score": [x[2] for x in flat]}, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
     return run
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each part, in runs of 2 * PART rows at most; batches are sorted by part."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> Iterator[pa.RecordBatch]:
+        if held:
+            one = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield from (one.slice(a, 2 * PART) for a in range(0, len(one), 2 * PART))
+
+    for batch in batches:
+        part = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(batch)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if held and b > a and held[-1].column(0)[0] != batch.column(0)[a]:
+                yield from whole()
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    yield from whole()

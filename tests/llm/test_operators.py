@@ -106,6 +106,23 @@ def test_neighbours(spark):
     assert [j for _, j in got[100]] == [j for _, j in want[100]] == [101, 102, 103, 104, 105]
 
 
+def test_neighbours_do_not_depend_on_layout(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART", 300)
+    draw = np.random.default_rng(8)
+    rows = [(i, v) for i, v in enumerate(draw.normal(size=(3000, 24)).astype(np.float32).tolist())]
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 4, 211):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(n)
+            found.append(sorted(map(tuple, neighbours.search(df, F.col("vec_id") % 50 == 0, reranked=8).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2] and len(found[0]) == 60 * 5
+    want = brute_neighbours(rows)
+    assert sum(j in {x for _, x in want[q]} for q, _, j, _ in found[0]) >= 0.9 * len(found[0])
+
+
 def test_few_or_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (0, [1.0, 0.0]), (None, [1.0, 0.0])], schema)
