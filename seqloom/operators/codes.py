@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scale import Scratch, numbered
+
 #: Symbols of an alphabet that the driver may build a code for.
 ALPHABET = 1_000_000
 
@@ -43,15 +45,14 @@ def huffman_size(seq: DataFrame) -> DataFrame:
     return seq.sparkSession.createDataFrame([(sum(counts.values()), len(counts), total)], "n long, n_symbols long, total_bits long")
 
 
-def dense_alphabet(seq: DataFrame) -> DataFrame:
-    """(c, mapped): symbols that occur, numbered from 1 in order. The alphabet meets in one task."""
-    return seq.select("c").distinct().select("c", F.row_number().over(Window.orderBy("c")).cast("long").alias("mapped"))
+def dense_alphabet(seq: DataFrame, scratch: Scratch) -> DataFrame:
+    """(c, mapped): symbols that occur, numbered from 1 in order."""
+    found = numbered(seq.select("c").where("c IS NOT NULL").distinct(), ["c"], scratch, "alphabet", "_number")
+    return found.select("c", (F.col("_number") + 1).cast("long").alias("mapped"))
 
 
-def gaps(ones: DataFrame, scratch) -> DataFrame:
+def gaps(ones: DataFrame, scratch: Scratch) -> DataFrame:
     """ones(i) with gap, the distance to the one before; i + 1 for the first."""
-    from ..plans.scale import numbered
-
     order = numbered(ones, ["i"], scratch, "gaps", "_number")
     before = order.select((F.col("_number") + 1).alias("_number"), F.col("i").alias("_before"))
     return order.join(before, "_number", "left").select("i", (F.col("i") - F.coalesce("_before", F.lit(-1))).alias("gap"))

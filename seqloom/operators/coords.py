@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scale import Scratch, numbered
 
 
+def _size() -> Column:
+    """A read's symbols; a null read is empty."""
+    return F.coalesce(F.length("seq"), F.lit(0))
+
+
 def with_starts(reads: DataFrame, scratch: Scratch, name: str = "starts") -> DataFrame:
     """reads(read_id, seq, ...) with start_pos, the text position of the read's first symbol, in
     the order of read_id. Null reads are empty."""
-    sized = reads.withColumn("_length", (F.coalesce(F.length("seq"), F.lit(0)) + 1).cast("long"))
+    sized = reads.withColumn("_length", (_size() + 1).cast("long"))
     found = numbered(sized, ["read_id"], scratch, name, "_number", ("_length", "_end"))
     return found.withColumn("start_pos", F.col("_end") - F.col("_length")).drop("_number", "_end", "_length")
 
@@ -24,8 +29,8 @@ def text_to_read(starts: DataFrame, queries: DataFrame) -> DataFrame:
     positions outside the text find nothing.
     """
     cell = 1 << 16
-    first, last = F.floor(F.col("start_pos") / cell), F.floor((F.col("start_pos") + F.length("seq")) / cell)
-    spread = starts.select("read_id", "start_pos", F.length("seq").alias("_n"), F.explode(F.sequence(first, last)).alias("_cell"))
+    first, last = F.floor(F.col("start_pos") / cell), F.floor((F.col("start_pos") + _size()) / cell)
+    spread = starts.select("read_id", "start_pos", _size().alias("_n"), F.explode(F.sequence(first, last)).alias("_cell"))
     asked = queries.withColumn("_cell", F.floor(F.col("text_pos") / cell))
     near = asked.join(spread, "_cell").where((F.col("text_pos") >= F.col("start_pos")) & (F.col("text_pos") <= F.col("start_pos") + F.col("_n")))
     return near.select("query_id", "text_pos", "read_id", (F.col("text_pos") - F.col("start_pos")).alias("pos"))
@@ -33,29 +38,29 @@ def text_to_read(starts: DataFrame, queries: DataFrame) -> DataFrame:
 
 def read_to_text(starts: DataFrame, queries: DataFrame) -> DataFrame:
     """queries(query_id, read_id, pos) with text_pos; positions beyond the terminator find nothing."""
-    near = queries.join(starts.select("read_id", "start_pos", F.length("seq").alias("_n")), "read_id").where("pos BETWEEN 0 AND _n")
+    near = queries.join(starts.select("read_id", "start_pos", _size().alias("_n")), "read_id").where("pos BETWEEN 0 AND _n")
     return near.withColumn("text_pos", F.col("start_pos") + F.col("pos")).drop("start_pos", "_n")
 
 
 def valid_positions(starts: DataFrame, k: int) -> DataFrame:
     """(read_id, first_pos, last_pos, n): the text positions at which a k-mer starts; null where none does."""
-    n = F.greatest(F.length("seq") - k + 1, F.lit(0)).cast("long")
+    n = F.greatest(_size() - k + 1, F.lit(0)).cast("long")
     some = F.when(n > 0, F.col("start_pos"))
     return starts.select("read_id", some.alias("first_pos"), (some + n - 1).alias("last_pos"), n.alias("n"))
 
 
 def collection_size(reads: DataFrame) -> DataFrame:
     """One row: total_length (with terminators), n_reads, max_length (without)."""
-    length = F.coalesce(F.length("seq"), F.lit(0))
+    length = _size()
     return reads.agg(F.coalesce(F.sum(length + 1), F.lit(0)).cast("long").alias("total_length"), F.count(F.lit(1)).alias("n_reads"), F.coalesce(F.max(length), F.lit(0)).cast("long").alias("max_length"))
 
 
 def read_lengths(reads: DataFrame) -> DataFrame:
     """(read_id, length) with the terminator."""
-    return reads.select("read_id", (F.coalesce(F.length("seq"), F.lit(0)) + 1).cast("long").alias("length"))
+    return reads.select("read_id", (_size() + 1).cast("long").alias("length"))
 
 
 def read_ranges(starts: DataFrame) -> DataFrame:
     """(read_id, first_pos, last_pos): the text positions of each read's symbols; null for empty reads."""
-    some = F.when(F.length("seq") > 0, F.col("start_pos"))
-    return starts.select("read_id", some.alias("first_pos"), (some + F.length("seq") - 1).alias("last_pos"))
+    some = F.when(_size() > 0, F.col("start_pos"))
+    return starts.select("read_id", some.alias("first_pos"), (some + _size() - 1).alias("last_pos"))

@@ -21,19 +21,33 @@ def positions(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
-def extract(reads: DataFrame, k: int, *keep: str) -> DataFrame:
+def extract(reads: DataFrame, k: int, *keep: str, ahead: int = 0) -> DataFrame:
     """(read_id, pos, kmer) of reads(read_id, seq), with further columns of reads to keep.
 
     Reads shorter than k and null ones have none. Each read is first cut into pieces of CHUNK
-    positions that overlap by k - 1, so the work is linear in its length.
+    positions that overlap by k - 1, so the work is linear in its length. With ahead, the rows also
+    have piece and at: the piece of the read, that many symbols longer, and their place in it.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
+    more = (F.col("_text").alias("piece"), F.col("_at").alias("at")) if ahead else ()
     count = F.length("seq") - (k - 1)
     pieces = reads.select("read_id", *keep, "seq", F.explode(positions(F.ceil(count / CHUNK))).alias("_piece"), count.alias("_count"))
-    pieces = pieces.select("read_id", *keep, (F.col("_piece") * CHUNK).alias("_base"), cut(F.col("seq"), F.col("_piece") * CHUNK, CHUNK + k - 1).alias("_text"))
-    inside = pieces.select("read_id", *keep, "_base", "_text", F.explode(positions(F.length("_text") - (k - 1))).alias("_at"))
-    return inside.select("read_id", *keep, (F.col("_base") + F.col("_at")).cast("long").alias("pos"), cut(F.col("_text"), F.col("_at"), k).alias("kmer"))
+    pieces = pieces.select("read_id", *keep, (F.col("_piece") * CHUNK).alias("_base"), cut(F.col("seq"), F.col("_piece") * CHUNK, CHUNK + k - 1 + ahead).alias("_text"))
+    inside = pieces.select("read_id", *keep, "_base", "_text", F.explode(positions(F.least(F.length("_text") - (k - 1), F.lit(CHUNK)))).alias("_at"))
+    return inside.select("read_id", *keep, (F.col("_base") + F.col("_at")).cast("long").alias("pos"), cut(F.col("_text"), F.col("_at"), k).alias("kmer"), *more)
+
+
+#: k-mers up to this number are broadcast to leave all others out before anything is shuffled.
+BROADCAST_KMERS = 100_000
+
+
+def only(kmers: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of kmers that wanted(kmer, ...) asks for, if those are few; else all of them, as
+    what they are then counted to is smaller than they."""
+    asked = wanted.select("kmer").distinct()
+    few = asked.limit(BROADCAST_KMERS + 1).count() <= BROADCAST_KMERS
+    return kmers.join(F.broadcast(asked), "kmer", "left_semi") if few else kmers
 
 
 def stats(kmers: DataFrame) -> DataFrame:
@@ -70,11 +84,13 @@ def last_flags(kmers: DataFrame) -> DataFrame:
     return kmers.join(last, ["kmer", "read_id"]).withColumn("last", F.col("pos") == F.col("_last")).drop("_last")
 
 
-def left_neighbours(kmers: DataFrame, reads: DataFrame) -> DataFrame:
-    """(kmer, symbol, n): which symbols stand before each k-mer; $ where it starts its read."""
-    with_text = kmers.join(reads, "read_id")
-    symbol = F.when(F.col("pos") == 0, "$").otherwise(cut(F.col("seq"), F.col("pos") - 1, 1))
-    return with_text.groupBy("kmer", symbol.alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
+def left_neighbours(reads: DataFrame, k: int) -> DataFrame:
+    """(kmer, symbol, n): which symbols stand before each k-mer; $ where it starts its read.
+
+    A k-mer with the symbol before it is a (k + 1)-mer of the read that a $ is put before."""
+    longer = extract(reads.select("read_id", F.concat(F.lit("$"), "seq").alias("seq")), k + 1)
+    counts = longer.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(cut(F.col("kmer"), F.lit(1), k).alias("kmer"), F.substring("kmer", 1, 1).alias("symbol"), "n")
 
 
 def read_starts(kmers: DataFrame) -> DataFrame:

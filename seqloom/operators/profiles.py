@@ -32,6 +32,15 @@ def absent_kmers(patterns: DataFrame, counts: DataFrame, k: int) -> DataFrame:
     return extract(patterns, k).select("kmer").distinct().join(counts, "kmer", "left_anti")
 
 
+def own_summary(kmers: DataFrame) -> DataFrame:
+    """summary() of the collection's reads against itself, of kmers(kmer, read_id, ...). Counts by
+    k-mer and read serve for both: for the k-mers' reads, and weighted for the reads' k-mers."""
+    each = kmers.groupBy("kmer", "read_id").agg(F.count(F.lit(1)).alias("n"))
+    joined = each.join(each.groupBy("kmer").agg(F.count(F.lit(1)).alias("q2")), "kmer")
+    n = F.sum("n").cast("long")
+    return joined.groupBy("read_id").agg(n.alias("n_kmers"), n.alias("n_found"), F.min("q2").alias("min_q2"), F.max("q2").alias("max_q2"), F.sum(F.col("q2") * F.col("n")).cast("long").alias("sum_q2"))
+
+
 def summary(profiles: DataFrame) -> DataFrame:
     """A row per read: read_id, n_kmers, n_found, min_q2, max_q2, sum_q2."""
     return profiles.groupBy("read_id").agg(F.count(F.lit(1)).alias("n_kmers"), F.count_if(F.col("q4") > 0).alias("n_found"), F.min("q2").alias("min_q2"), F.max("q2").alias("max_q2"), F.sum("q2").cast("long").alias("sum_q2"))

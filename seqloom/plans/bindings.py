@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import to_dna
 from ..operators.codes import dense_alphabet
+from .scale import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +45,7 @@ def event_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types in order, numbered from 1."""
     types = table(spark, sf_dir, "events").select(F.col("event_id").alias("i"), F.col("event_type").alias("c"))
-    return types.join(dense_alphabet(types), "c").select("i", F.col("mapped").alias("c"))
+    return types.join(dense_alphabet(types, Scratch(spark)), "c").select("i", F.col("mapped").alias("c"))
 
 
 def user_seq(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,9 @@ ranges once, written, and numbered within their ranges.
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -19,8 +22,19 @@ from pyspark.sql import functions as F
 BLOCK = 65_536
 
 
+@functools.cache
+def _own_folder() -> str:
+    """For one local process without spark.checkpoint.dir: a temporary folder that goes with it."""
+    found = tempfile.mkdtemp(prefix="seqloom-")
+    atexit.register(shutil.rmtree, found, ignore_errors=True)
+    return found
+
+
 class Scratch:
-    """Written tables in the folder that driver and executors share: spark.checkpoint.dir."""
+    """Written tables in the folder that driver and executors share: spark.checkpoint.dir.
+
+    Results read them when they are computed; drop() removes them afterwards.
+    """
 
     def __init__(self, spark: SparkSession):
         context = spark.sparkContext
@@ -28,8 +42,7 @@ class Scratch:
         if not base:
             if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = tempfile.mkdtemp(prefix="seqloom-")
-            spark.conf.set("spark.checkpoint.dir", base)
+            base = _own_folder()
         self.spark, self.root = spark, f"{base.rstrip('/')}/seqloom-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -40,6 +53,10 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def drop(self, name: str = "") -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
 
 def scan(df: DataFrame, order: str, keys: Sequence[str] = (), **outs: tuple[str, Column]) -> DataFrame:
     """df with columns that depend on the rows of the same keys before or after this one.

@@ -90,7 +90,8 @@ def q1_report_reads(spark, d):
 @query(f"WITH {_DNA}, {_kmers(K)}, {_stats()}, {_batch_sql(K)} SELECT query_id, kmer, q2 FROM qs JOIN st USING (kmer)")
 def q2_count_reads(spark, d):
     reads = bind.dna_reads(spark, d)
-    return kmers.count_for(kmers.stats(kmers.extract(reads, K)), _batch(reads, K)).select("query_id", "kmer", "q2")
+    batch = _batch(reads, K)
+    return kmers.count_for(kmers.stats(kmers.only(kmers.extract(reads, K), batch)), batch).select("query_id", "kmer", "q2")
 
 
 @query(f"WITH {_DNA}, {_kmers(K_LONG)}, {_batch_sql(K_LONG)} SELECT query_id, km.read_id, km.pos FROM qs JOIN km USING (kmer)")
@@ -102,13 +103,15 @@ def q3_report_occurrences(spark, d):
 @query(f"WITH {_DNA}, {_kmers(K)}, {_stats()}, {_batch_sql(K)} SELECT query_id, kmer, q4 FROM qs JOIN st USING (kmer)")
 def q4_count_occurrences(spark, d):
     reads = bind.dna_reads(spark, d)
-    return kmers.count_for(kmers.stats(kmers.extract(reads, K)), _batch(reads, K)).select("query_id", "kmer", "q4")
+    batch = _batch(reads, K)
+    return kmers.count_for(kmers.stats(kmers.only(kmers.extract(reads, K), batch)), batch).select("query_id", "kmer", "q4")
 
 
 @query(f"WITH {_DNA}, {_kmers(K)}, {_stats()}, {_batch_sql(K)} SELECT count(*)::bigint AS n_queries, sum(q4)::bigint AS n_occurrences, sum(q2)::bigint AS n_reads FROM qs JOIN st USING (kmer)")
 def query_batch_totals(spark, d):
     reads = bind.dna_reads(spark, d)
-    found = kmers.count_for(kmers.stats(kmers.extract(reads, K)), _batch(reads, K))
+    batch = _batch(reads, K)
+    found = kmers.count_for(kmers.stats(kmers.only(kmers.extract(reads, K), batch)), batch)
     return found.agg(F.count(F.lit(1)).alias("n_queries"), F.sum("q4").alias("n_occurrences"), F.sum("q2").alias("n_reads"))
 
 
@@ -120,7 +123,7 @@ def last_flags(spark, d):
 @query(f"WITH {_NAMES}, {_kmers(K_NAME, 'names')} SELECT kmer, CASE WHEN pos = 0 THEN '$' ELSE substr(seq, pos, 1) END AS symbol, count(*)::bigint AS n FROM km JOIN names USING (read_id) GROUP BY 1, 2")
 def left_neighbours(spark, d):
     reads = bind.name_reads(spark, d)
-    return kmers.left_neighbours(kmers.extract(reads, K_NAME), reads)
+    return kmers.left_neighbours(reads, K_NAME)
 
 
 @query(f"WITH {_NAMES}, {_kmers(K_NAME, 'names')} SELECT kmer, count(*) FILTER (pos = 0)::bigint AS n FROM km GROUP BY 1")
@@ -197,8 +200,13 @@ def _items(spark, d):
     return bind.table(spark, d, "benchmark").select(F.col("item_id").alias("read_id"), fn.to_dna(F.col("text")).alias("seq"))
 
 
-def _dna_stats(spark, d):
-    return kmers.stats(kmers.extract(bind.dna_reads(spark, d), K))
+def _dna_stats(spark, d, patterns):
+    """Counts of the k-mers that the patterns have."""
+    return kmers.stats(kmers.only(kmers.extract(bind.dna_reads(spark, d), K), kmers.extract(patterns, K)))
+
+
+def _turned(spark, d):
+    return _items(spark, d).withColumn("seq", fn.reverse_complement(F.col("seq")))
 
 
 @query(f"WITH {_NAMES}, {_kmers(K_NAME, 'names')}, {_stats()} SELECT read_id, pos, kmer, q2, q4 FROM km JOIN st USING (kmer)")
@@ -210,27 +218,30 @@ def read_profile(spark, d):
 @query(f"WITH {_DNA}, {_kmers(K)}, {_stats()} SELECT read_id, count(*)::bigint AS n_kmers, count(*)::bigint AS n_found, min(q2) AS min_q2, max(q2) AS max_q2, sum(q2)::bigint AS sum_q2 FROM km JOIN st USING (kmer) GROUP BY 1")
 def read_profile_summary(spark, d):
     reads = bind.dna_reads(spark, d)
-    return profiles.summary(profiles.profile(reads, kmers.stats(kmers.extract(reads, K)), K))
+    return profiles.own_summary(kmers.extract(reads, K))
 
 
 @query(f"WITH {_DNA}, {_kmers(K)}, {_stats()}, {_ITEMS}, {_kmers(K, 'items', 'ik')} SELECT read_id, pos, kmer, coalesce(q2, 0) AS q2, coalesce(q4, 0) AS q4 FROM ik LEFT JOIN st USING (kmer)")
 def pattern_profile(spark, d):
-    return profiles.profile(_items(spark, d), _dna_stats(spark, d), K)
+    items = _items(spark, d)
+    return profiles.profile(items, _dna_stats(spark, d, items), K)
 
 
 @query(f"WITH {_DNA}, {_kmers(K)}, {_stats()}, {_ITEMS}, {_TURNED}, {_kmers(K, 'turned', 'ik')} SELECT read_id, pos, kmer, coalesce(q2, 0) AS q2, coalesce(q4, 0) AS q4 FROM ik LEFT JOIN st USING (kmer)")
 def reverse_profile(spark, d):
-    return profiles.reverse_profile(_items(spark, d), _dna_stats(spark, d), K)
+    return profiles.reverse_profile(_items(spark, d), _dna_stats(spark, d, _turned(spark, d)), K)
 
 
 @query(f"WITH {_DNA}, {_kmers(K)}, {_ITEMS}, {_TURNED}, {_kmers(K, 'turned', 'ik')} SELECT DISTINCT kmer FROM ik WHERE kmer IN (SELECT kmer FROM km)")
 def found_kmers(spark, d):
-    return profiles.found_kmers(_items(spark, d).withColumn("seq", fn.reverse_complement(F.col("seq"))), _dna_stats(spark, d), K)
+    turned = _turned(spark, d)
+    return profiles.found_kmers(turned, _dna_stats(spark, d, turned), K)
 
 
 @query(f"WITH {_DNA}, {_kmers(K)}, {_ITEMS}, {_TURNED}, {_kmers(K, 'turned', 'ik')} SELECT DISTINCT kmer FROM ik WHERE kmer NOT IN (SELECT kmer FROM km)")
 def absent_kmers(spark, d):
-    return profiles.absent_kmers(_items(spark, d).withColumn("seq", fn.reverse_complement(F.col("seq"))), _dna_stats(spark, d), K)
+    turned = _turned(spark, d)
+    return profiles.absent_kmers(turned, _dna_stats(spark, d, turned), K)
 
 
 @query(f"WITH {_DNA} SELECT read_id, translate(reverse(seq), 'ACGT', 'TGCA') AS seq FROM dna")
@@ -604,7 +615,7 @@ def huffman_size(spark, d):
 
 @query("SELECT user_id AS c, row_number() OVER (ORDER BY user_id) AS mapped FROM (SELECT DISTINCT user_id FROM events)")
 def dense_alphabet(spark, d):
-    return codes.dense_alphabet(bind.user_seq(spark, d))
+    return codes.dense_alphabet(bind.user_seq(spark, d), Scratch(spark))
 
 
 @query(f"WITH {_EVENTS} SELECT i, i - coalesce(lag(i) OVER (ORDER BY i), -1) AS gap FROM bits WHERE b")

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..operators.kmers import positions
 
 
+#: Numbers of a file that are cut out at a time.
+CELL = 256
+
+
 def read_lines(spark: SparkSession, paths: str | Sequence[str], *, skip_empty: bool = False) -> DataFrame:
     """(read_id, seq): a row for each line, numbered from 0 in the order of files and lines.
 
@@ -28,9 +32,10 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], *, skip_empty: b
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq): records that start with > and a name; the lines after it are one sequence."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
-    lines = F.split("value", "\r?\n")
+    """(name, seq): records that start with a > that begins a line, and a name; the lines after it
+    are one sequence. A > inside a line is part of it."""
+    records = spark.read.option("lineSep", "\n>").text(path).where(F.length(F.trim("value")) > 0)
+    lines = F.split(F.regexp_replace("value", "^>|\r$", ""), "\r?\n")
     return records.select(F.get(lines, F.lit(0)).alias("name"), F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "").alias("seq"))
 
 
@@ -43,12 +48,15 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 
 def read_integers(spark: SparkSession, path: str) -> DataFrame:
     """(i, c) of a file of unsigned 32-bit little-endian numbers, numbered over all files."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.hex("content").alias("x"), (F.col("length") / 4).cast("long").alias("n"))
+    files = spark.read.format("binaryFile").load(path).select("path", "content", (F.col("length") / 4).cast("long").alias("n"))
     before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     offsets = files.select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))  # a row for each file
-    rows = files.join(F.broadcast(offsets), "path").select("x", "_offset", F.explode(positions(F.col("n"))).alias("k"))
+    # Cut into short pieces first: a place in a text is found from its start, in bytes at once.
+    cells = files.join(F.broadcast(offsets), "path").select("content", "n", "_offset", F.explode(positions(F.ceil(F.col("n") / CELL))).alias("cell"))
+    cells = cells.select(F.hex(F.substring("content", F.col("cell") * (4 * CELL) + 1, F.lit(4 * CELL))).alias("x"), (F.col("_offset") + F.col("cell") * CELL).alias("_offset"), F.least(F.lit(CELL), F.col("n") - F.col("cell") * CELL).alias("n"))
+    rows = cells.select("x", "_offset", F.explode(positions(F.col("n"))).alias("k"))
     byte = lambda b: F.substring(F.col("x"), F.col("k") * 8 + 2 * b + 1, F.lit(2))
-    return rows.select((F.col("_offset") + F.col("k")).alias("i"), F.conv(F.concat(byte(3), byte(2), byte(1), byte(0)), 16, 10).cast("long").alias("c"))
+    return rows.select((F.col("_offset") + F.col("k")).cast("long").alias("i"), F.conv(F.concat(byte(3), byte(2), byte(1), byte(0)), 16, 10).cast("long").alias("c"))
 
 
 def write_lines(reads: DataFrame, path: str, order: Sequence[str] = ("read_id",)) -> None:

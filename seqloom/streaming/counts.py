@@ -10,14 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.kmers import extract
+from ..functions.sequence import cut
+from ..operators.kmers import CHUNK, extract, positions
 
 
 def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
     """(kmer, q2, q4) of a stream reads(read_id, seq), for the update or complete mode."""
     pieces = extract(reads.select("read_id", "seq"), k).select("kmer", F.lit(0).alias("q2"), F.lit(1).alias("q4"))
-    cut = F.transform(F.sequence(F.lit(1), F.length("seq") - (k - 1)), lambda i: F.substring(F.col("seq"), i, F.lit(k)))
-    once = reads.where(F.length("seq") >= k).select(F.explode(F.array_distinct(cut)).alias("kmer"), F.lit(1).alias("q2"), F.lit(0).alias("q4"))
+    # As in extract(), a read is cut into pieces first: the work is linear in its length.
+    parts = F.transform(positions(F.ceil((F.length("seq") - (k - 1)) / CHUNK)), lambda x: cut(F.col("seq"), x * CHUNK, CHUNK + k - 1))
+    each = F.flatten(F.transform(parts, lambda part: F.transform(positions(F.length(part) - (k - 1)), lambda i: cut(part, i, k))))
+    once = reads.where(F.length("seq") >= k).select(F.explode(F.array_distinct(each)).alias("kmer"), F.lit(1).alias("q2"), F.lit(0).alias("q4"))
     return pieces.unionByName(once).groupBy("kmer").agg(F.sum("q2").cast("long").alias("q2"), F.sum("q4").cast("long").alias("q4"))
 
 
