@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import TEXT_ROWS, batches_of, task, worker_state
+from .common import small_batches, task, worker_state
 
 NONE = np.int64(1) << 62
 #: Pieces of up to this number of bytes are merged as rows of one tree.
@@ -233,7 +233,7 @@ def encode(df: DataFrame, *, vocabulary: str, pattern: str, text_col: str = "tex
     pattern is encoded by itself; special tokens have no meaning. Null and empty texts have no
     ids. A column that is named like out is replaced; all others stay.
     """
-    batches_of(df.sparkSession, TEXT_ROWS)
+    small_batches(df.sparkSession)
     rest, schema = _appended(df, out, T.ArrayType(T.IntegerType()))
 
     @task

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import functools
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,27 +29,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Where it is unset, a temporary folder serves if driver and executors are one local
-    process; anything else is an error, as executors wouldn't see each other's files.
+    Where it is unset, a temporary folder that goes with the process serves if driver and executors
+    are one local process; anything else is an error, as executors wouldn't see each other's files.
     """
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="seqloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_folder()
     return found.rstrip("/")
 
 
+@functools.cache
+def _own_folder() -> str:
+    found = tempfile.mkdtemp(prefix="seqloom-")
+    atexit.register(shutil.rmtree, found, ignore_errors=True)
+    return found
+
+
+_opened: list[Scratch] = []
+
+
 class Scratch:
     """Tables and files that one run of an operator keeps in the shared folder.
 
-    A written table cuts the lineage: when an executor is lost, what was written stays.
+    A written table cuts the lineage: when an executor is lost, what was written stays. Results read
+    some of them when they are computed, so an operator drops what its result doesn't need, and
+    release() the rest once results have been written.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/seqloom-{name}-{uuid.uuid4().hex}"
+        _opened.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -63,6 +77,31 @@ class Scratch:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def opened() -> int:
+    """How many Scratches there have been, for release()."""
+    return len(_opened)
+
+
+def release(since: int = 0) -> None:
+    """Remove what operators have kept since then. Results that weren't written can't be computed afterwards."""
+    for scratch in _opened[since:]:
+        scratch.drop()
+    del _opened[since:]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+
+    def one(name: str) -> str:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        return name
+
+    return [one(x) for x in names]
+
+
 def local_path(uri: str) -> str:
     """A shared folder's path for open(): only file: and plain paths have one."""
     scheme, _, rest = uri.partition(":")
@@ -128,17 +167,20 @@ def doc_key(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))
 
 
-#: Rows of an Arrow batch of texts, which are long, and of rows of a few numbers.
-TEXT_ROWS, SLIM_ROWS = 500, 10_000
+#: Rows of an Arrow batch, at most.
+BATCH_ROWS = 2_000
 
 
-def batches_of(spark: SparkSession, rows: int) -> None:
-    """Let Spark hand Python workers that many rows at a time from now on.
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand Python workers at most BATCH_ROWS rows at a time, now and for results that are
+    computed later; a session's lower setting is left.
 
-    The buffers of a batch stand in the JVM and in the worker at once, so their size is what bounds
-    an executor's memory. Results don't depend on it.
+    The buffers of a batch of texts stand in the JVM and in the worker at once, so their size is
+    what bounds an executor's memory. Results don't depend on it.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 _state: dict[Any, Any] = {}

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import slices
-from .common import TEXT_ROWS, Scratch, batches_of, column, doc_key, task, worker_state
+from .common import Scratch, column, doc_key, small_batches, task, worker_state
 
 LETTERS = r"[\p{L}\p{M}]+"
 UNKNOWN = "und"
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col:
                 counts.update((x, w) for w in words.of(text))
             yield pa.RecordBatch.from_pydict({"lang": pa.array([x for x, _ in counts], pa.string()), "word": pa.array([w for _, w in counts], pa.string()), "n": pa.array(counts.values(), pa.int64())})
 
-    batches_of(docs.sparkSession, TEXT_ROWS)
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "language")
     words = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = scratch.keep(words, "words")
@@ -175,7 +175,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", lang_out:
     Columns that are named like the results are replaced, all others stay. Each row is scored for
     itself, so repeated rows have equal results, and an empty table none.
     """
-    batches_of(docs.sparkSession, TEXT_ROWS)
+    small_batches(docs.sparkSession)
     rest = docs.drop(lang_out, score_out)
     schema = rest.withColumn(lang_out, F.lit("")).withColumn(score_out, F.lit(0.0)).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)  # it is bounded by the documents that are learned from

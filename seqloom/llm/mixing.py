@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, doc_key, word_count
+from .common import Scratch, doc_key, fresh, word_count
 
 #: Independent draws that a document's hashes give; each source uses the one that comes nearest.
 DRAWS = 16
@@ -98,12 +98,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def emit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus: each row of docs as often as the plan says, its columns unchanged."""
     _, plan = mixing_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    plan = plan.select(F.col("source").alias("_mix_source"), "rate", "draw")
+    name, both, copy = fresh(docs, "mix_source", "mix_rate", "mix_copy")
     few = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    rates = plan.select("_mix_source", F.struct("rate", "draw").alias("_mix_rate"))
-    joined = docs.join(F.broadcast(rates) if few else rates, docs[source_col].eqNullSafe(rates["_mix_source"]), "left")
-    rate, draw = F.col("_mix_rate.rate"), F.col("_mix_rate.draw")
+    rates = plan.select(F.col("source").alias(name), F.struct("rate", "draw").alias(both))
+    joined = docs.join(F.broadcast(rates) if few else rates, docs[source_col].eqNullSafe(rates[name]), "left")
+    rate, draw = F.col(f"{both}.rate"), F.col(f"{both}.draw")
     drawn = F.element_at(F.array(*[_draw(doc_key(docs[id_col], docs[text_col]), k) for k in range(DRAWS)]), draw + 1)
     copies = (F.floor(rate) + F.when(drawn < rate - F.floor(rate), 1).otherwise(0)).cast("int")
-    repeated = joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), copies)).alias("_mix_copy"))
-    return repeated.drop("_mix_copy")
+    repeated = joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), copies)).alias(copy))
+    return repeated.drop(copy)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLIM_ROWS, Scratch, batches_of
+from .common import Scratch, small_batches
 
 #: Vectors that the codebooks are trained on, about; picked by a hash of the vector.
 TRAIN_VECTORS = 16_384
@@ -114,7 +114,7 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
-    batches_of(spark, SLIM_ROWS)
+    small_batches(spark)
     schema = "query_id long, rank int, vec_id long, score double"
     named = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
     lengths = named.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Slots of the table, a prime. The broadcast table has as many rows, whatever the data's size.
 SLOTS = 65_537
 
@@ -57,7 +59,8 @@ def place(df: DataFrame, key: Column, shards: Sequence[str], *, slots: int = SLO
     named like slot_col or shard_col are replaced, all others stay.
     """
     table = fill_table(shards, slots, weights)
-    rest = df.withColumn("_shard_slot", F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")).drop(slot_col, shard_col)
-    lookup = df.sparkSession.createDataFrame([(i, shards[k]) for i, k in enumerate(table)], "_shard_at int, _shard_name string")
-    out = rest.join(F.broadcast(lookup), F.col("_shard_slot") == F.col("_shard_at"))
-    return out.withColumnsRenamed({"_shard_slot": slot_col, "_shard_name": shard_col}).drop("_shard_at")
+    slot, at, name = fresh(df, "shard_slot", "shard_at", "shard_name")
+    rest = df.withColumn(slot, F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")).drop(slot_col, shard_col)
+    lookup = df.sparkSession.createDataFrame([(i, shards[k]) for i, k in enumerate(table)], f"{at} int, {name} string")
+    out = rest.join(F.broadcast(lookup), F.col(slot) == F.col(at))
+    return out.withColumnsRenamed({slot: slot_col, name: shard_col}).drop(at)

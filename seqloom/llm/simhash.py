@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import SLICE, slices
-from .common import SLIM_ROWS, TEXT_ROWS, Scratch, batches_of, task, worker_state
+from .common import Scratch, fresh, small_batches, task, worker_state
 from .components import Links, connected
 
 LINK_BITS = 3
@@ -166,7 +166,7 @@ def fingerprint_links(distinct: DataFrame, scratch: Scratch, *, bits: int = LINK
     at most bits bits, directly or over others: a forest for each task, not all pairs."""
     n = distinct.count()
     share = min(0.25, SAMPLE / max(1, n))
-    sampled = distinct.where(F.pmod(F.xxhash64("fingerprint", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sampled = distinct.where(F.pmod(F.xxhash64("fingerprint", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
     sample = sampled.limit(2 * SAMPLE).toPandas()["fingerprint"].to_numpy(np.int64).view(np.uint64)
     counter = [0]
     tree = grow(np.sort(sample), max(SAMPLE_LEAF, int(SHARD_ROWS * share)), bits, counter)
@@ -187,7 +187,8 @@ def fingerprint_links(distinct: DataFrame, scratch: Scratch, *, bits: int = LINK
     whole = cells.where("parts = 1").select("shard", F.lit(0).alias("i"), F.lit(0).alias("j"), "fingerprint", "home")
     large = cells.where("parts > 1")
     as_home = large.where("home").select("shard", F.col("part").alias("i"), F.explode(each).alias("j"), "fingerprint", "home")
-    as_query = large.select("shard", F.explode(each).alias("i"), F.col("part").alias("j"), "fingerprint", F.lit(False).alias("home"))
+    # In a cell with i = j a row at home is there already.
+    as_query = large.select("shard", F.explode(F.filter(each, lambda i: ~F.col("home") | (i != F.col("part")))).alias("i"), F.col("part").alias("j"), "fingerprint", F.lit(False).alias("home"))
     tasks = whole.unionByName(as_home).unionByName(as_query)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -210,9 +211,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
-    batches_of(docs.sparkSession, TEXT_ROWS)
+    small_batches(docs.sparkSession)
     marked = scratch.keep(fingerprints(slim, words=words), "marked")
-    batches_of(docs.sparkSession, SLIM_ROWS)
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     distinct = scratch.keep(marked.groupBy("fingerprint").agg(F.min(place).alias("place")), "distinct")
     found = connected(fingerprint_links(distinct.select("fingerprint"), scratch, bits=bits), scratch)
@@ -232,16 +232,17 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """docs with one row of each component: its first; of rows that repeat id and text, any one."""
     scratch = Scratch(docs.sparkSession, "dedup")
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    found = scratch.keep(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "first"), "found")
-    text_hash = F.xxhash64(F.coalesce(text_col, F.lit("")))
+    doc, digest, once_col = fresh(docs, "doc", "digest", "once")
+    found = scratch.keep(found.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(digest), "first"), "found")
+    text_hash = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
 
     def same(keys: DataFrame):
-        return docs[id_col].cast("long").eqNullSafe(keys["_id"]) & (text_hash == keys["_hash"])
+        return docs[id_col].cast("long").eqNullSafe(keys[doc]) & (text_hash == keys[digest])
 
-    others = found.where("NOT first").select("_id", "_hash").distinct()
+    others = found.where("NOT first").select(doc, digest).distinct()
     kept = docs.join(others, same(others), "left_anti")
-    repeated = scratch.keep(found.where("first").groupBy("_id", "_hash").count().where("count > 1").select("_id", "_hash"), "repeated")
+    repeated = scratch.keep(found.where("first").groupBy(doc, digest).count().where("count > 1").select(doc, digest), "repeated")
     if repeated.isEmpty():
         return kept
-    once = docs.join(repeated, same(repeated), "left_semi").withColumn("_once", text_hash).dropDuplicates([id_col, "_once"]).drop("_once")
+    once = docs.join(repeated, same(repeated), "left_semi").withColumn(once_col, text_hash).dropDuplicates([id_col, once_col]).drop(once_col)
     return kept.join(repeated, same(repeated), "left_anti").unionByName(once)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import slices
-from .common import TEXT_ROWS, batches_of, task, worker_state, write_file
+from .common import small_batches, task, worker_state, write_file
 
 # Fixed values of the published code: ids a word holds and bits of each, by selector. Here selector 0 is the escape.
 COUNTS = (1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -235,7 +235,7 @@ def write(docs: DataFrame, path: str, *, vocabulary: str, end_id: int | None, id
     text) and sorted, so files in the order of part and seq hold them in ascending order. Null and
     empty texts have the end id alone. Other columns aren't read. An empty table writes no file.
     """
-    batches_of(docs.sparkSession, TEXT_ROWS)
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
     ordered = slim.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)

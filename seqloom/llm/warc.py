@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, Scratch, batches_of, read_file, task, write_file
+from .common import Scratch, read_file, small_batches, task, write_file
 
 # Fixed values of the formats: the header fields of either version, and the profile of revisits.
 ARC_FIELDS = {
@@ -146,8 +146,8 @@ def iso_date(date: str) -> str:
 
 
 def record_id(archive: str, offset: int) -> str:
-    """The identifier of what stands there: the same in each run over the same archive."""
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}#{offset}')}>"
+    """The identifier of what stands there: by the archive's file name, so the same wherever it lies."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive.rsplit('/', 1)[-1]}#{offset}')}>"
 
 
 def warc_record(record: ArcRecord, refers_to: tuple[str, int] | None = None) -> bytes:
@@ -317,8 +317,10 @@ def with_referred_key(records: DataFrame) -> DataFrame:
 def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """pages through ARC and WARC archives and back: a row per record, without the payloads."""
     scratch = Scratch(spark, "archives")
-    batches_of(spark, TEXT_ROWS)
+    small_batches(spark)
     arcs = scratch.keep(write_arc(pages, scratch.path("arc")), "arcs")
     warcs = scratch.keep(convert(arcs, scratch.path("warc")), "warcs")
-    scratch.drop("arc")
-    return with_referred_key(scratch.keep(read_warc(warcs).drop("payload"), "records"))
+    records = scratch.keep(read_warc(warcs).drop("payload"), "records")
+    for name in ("arc", "arcs", "warc", "warcs"):
+        scratch.drop(name)
+    return with_referred_key(records)
