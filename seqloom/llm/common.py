@@ -168,7 +168,7 @@ def doc_key(doc_id: Column, text: Column) -> Column:
 
 
 #: Rows of an Arrow batch, at most.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 
 
 def small_batches(spark: SparkSession) -> None:
