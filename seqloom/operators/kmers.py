@@ -21,21 +21,25 @@ def positions(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
-def extract(reads: DataFrame, k: int, *keep: str, ahead: int = 0) -> DataFrame:
+def pieces(reads: DataFrame, length: int) -> DataFrame:
+    """(read_id, piece, text): for each CHUNK positions of a read the text from there on, of at most that length."""
+    some = reads.select("read_id", "seq", F.explode(positions(F.ceil(F.length("seq") / CHUNK))).alias("piece"))
+    return some.select("read_id", F.col("piece").cast("long").alias("piece"), cut(F.col("seq"), F.col("piece") * CHUNK, length).alias("text"))
+
+
+def extract(reads: DataFrame, k: int, *keep: str) -> DataFrame:
     """(read_id, pos, kmer) of reads(read_id, seq), with further columns of reads to keep.
 
     Reads shorter than k and null ones have none. Each read is first cut into pieces of CHUNK
-    positions that overlap by k - 1, so the work is linear in its length. With ahead, the rows also
-    have piece and at: the piece of the read, that many symbols longer, and their place in it.
+    positions that overlap by k - 1, so the work is linear in its length.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    more = (F.col("_text").alias("piece"), F.col("_at").alias("at")) if ahead else ()
     count = F.length("seq") - (k - 1)
     pieces = reads.select("read_id", *keep, "seq", F.explode(positions(F.ceil(count / CHUNK))).alias("_piece"), count.alias("_count"))
-    pieces = pieces.select("read_id", *keep, (F.col("_piece") * CHUNK).alias("_base"), cut(F.col("seq"), F.col("_piece") * CHUNK, CHUNK + k - 1 + ahead).alias("_text"))
-    inside = pieces.select("read_id", *keep, "_base", "_text", F.explode(positions(F.least(F.length("_text") - (k - 1), F.lit(CHUNK)))).alias("_at"))
-    return inside.select("read_id", *keep, (F.col("_base") + F.col("_at")).cast("long").alias("pos"), cut(F.col("_text"), F.col("_at"), k).alias("kmer"), *more)
+    pieces = pieces.select("read_id", *keep, (F.col("_piece") * CHUNK).alias("_base"), cut(F.col("seq"), F.col("_piece") * CHUNK, CHUNK + k - 1).alias("_text"))
+    inside = pieces.select("read_id", *keep, "_base", "_text", F.explode(positions(F.length("_text") - (k - 1))).alias("_at"))
+    return inside.select("read_id", *keep, (F.col("_base") + F.col("_at")).cast("long").alias("pos"), cut(F.col("_text"), F.col("_at"), k).alias("kmer"))
 
 
 #: k-mers up to this number are broadcast to leave all others out before anything is shuffled.

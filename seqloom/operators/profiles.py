@@ -36,9 +36,9 @@ def own_summary(kmers: DataFrame) -> DataFrame:
     """summary() of the collection's reads against itself, of kmers(kmer, read_id, ...). Counts by
     k-mer and read serve for both: for the k-mers' reads, and weighted for the reads' k-mers."""
     each = kmers.groupBy("kmer", "read_id").agg(F.count(F.lit(1)).alias("n"))
-    joined = each.join(each.groupBy("kmer").agg(F.count(F.lit(1)).alias("q2")), "kmer")
-    n = F.sum("n").cast("long")
-    return joined.groupBy("read_id").agg(n.alias("n_kmers"), n.alias("n_found"), F.min("q2").alias("min_q2"), F.max("q2").alias("max_q2"), F.sum(F.col("q2") * F.col("n")).cast("long").alias("sum_q2"))
+    # With q4 both sides of the join need the same columns, so the counts are computed once.
+    joined = each.join(each.groupBy("kmer").agg(F.count(F.lit(1)).alias("q2"), F.sum("n").alias("q4")), "kmer")
+    return joined.groupBy("read_id").agg(F.sum("n").cast("long").alias("n_kmers"), F.sum(F.when(F.col("q4") > 0, F.col("n"))).cast("long").alias("n_found"), F.min("q2").alias("min_q2"), F.max("q2").alias("max_q2"), F.sum(F.col("q2") * F.col("n")).cast("long").alias("sum_q2"))
 
 
 def summary(profiles: DataFrame) -> DataFrame:
