@@ -35,6 +35,14 @@ def arguments() -> argparse.ArgumentParser:
     how.add_argument("-n", "--context", type=int, help="each occurrence with so many symbols on either side")
     grep.add_argument("pattern")
     grep.add_argument("input")
+    locate = commands.add_parser("locate", help="where patterns occur: pattern_id, read_id, pos")
+    locate.add_argument("-c", "--count", action="store_true", help="how often, and in how many lines")
+    locate.add_argument("patterns", help="a file with a pattern on each line")
+    locate.add_argument("input")
+    display = commands.add_parser("display", help="symbols of a line from a position on")
+    display.add_argument("input")
+    for name in ("read", "position", "length"):
+        display.add_argument(name, type=int)
     merge = commands.add_parser("merge", help="two indexes as one")
     for name in ("first", "second", "output"):
         merge.add_argument(name)
@@ -85,14 +93,21 @@ def main(argv: list[str] | None = None) -> None:
             patterns.grep_context(reads, given.pattern, given.context).orderBy("read_id", "pos").show(1 << 30, truncate=False)
         else:
             patterns.grep(reads, given.pattern).orderBy("read_id").show(1 << 30, truncate=False)
+    elif given.command == "locate":
+        asked = read_lines(spark, given.patterns).select(F.col("read_id").alias("pattern_id"), F.col("seq").alias("pattern"))
+        found = (patterns.count if given.count else patterns.locate)(read_lines(spark, given.input), asked)
+        found.orderBy(*found.columns).show(1 << 30, truncate=False)
+    elif given.command == "display":
+        read = read_lines(spark, given.input).where(F.col("read_id") == given.read)
+        read.select(patterns.display_from(F.col("seq"), F.lit(given.position), given.length).alias("text")).show(truncate=False)
     elif given.command == "merge":
         store.save(store.merge(store.load(spark, given.first), store.load(spark, given.second)), given.output)
     elif given.command == "extract":
         store.load(spark, given.index).reads.where(F.col("read_id") == given.read).select("seq").show(truncate=False)
     elif given.command == "bwt":
         reads = read_lines(spark, given.input)
-        order = suffix.suffix_order(reads, Scratch(spark))
-        suffix.lcp(order).join(suffix.bwt(order, reads), "sa_idx").write.mode("overwrite").parquet(given.output)
+        order = suffix.lcp_doubling(reads, Scratch(spark))
+        order.join(suffix.bwt(order, reads), "sa_idx").write.mode("overwrite").parquet(given.output)
     print(f"{time.time() - began:.1f} seconds")
 
 

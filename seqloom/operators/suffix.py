@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import common_prefix, cut
 from ..plans.scale import Scratch, numbered, running_sum
-from .kmers import positions
+from .kmers import extract, positions
 
 #: The symbol that stands for a terminator.
 END = "$"
@@ -34,8 +34,9 @@ def suffix_order(reads: DataFrame, scratch: Scratch, name: str = "suffixes") ->
     return numbered(suffixes(reads), ["suffix", "read_id"], scratch, name, "sa_idx")
 
 
-def suffix_order_doubling(reads: DataFrame, scratch: Scratch) -> DataFrame:
-    """(sa_idx, read_id, pos) for reads of any length: ranks of prefixes that double in length.
+def prefix_ranks(reads: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
+    """(read_id, pos, key) with each suffix's first FIRST symbols, and a list of widths with
+    (read_id, pos, rank), the ranks of the suffixes cut to that many symbols.
 
     A round joins each suffix's rank with that of the suffix as many symbols further on, and
     numbers the distinct pairs; rows stay a few numbers wide. It ends when each rank is one
@@ -46,25 +47,59 @@ def suffix_order_doubling(reads: DataFrame, scratch: Scratch) -> DataFrame:
     cells = rows.select("read_id", "seq", F.explode(positions(F.ceil((F.length("seq") + 1) / 256))).alias("_cell"))
     cells = cells.select("read_id", (F.col("_cell") * 256).alias("_base"), F.length("seq").alias("_n"), cut(F.col("seq"), F.col("_cell") * 256, 256 + FIRST - 1).alias("_text"))
     each = cells.select("read_id", "_base", "_text", F.explode(positions(F.least(F.lit(256), F.col("_n") + 1 - F.col("_base")))).alias("_at"))
-    ranks = each.select("read_id", (F.col("_base") + F.col("_at")).cast("long").alias("pos"), cut(F.col("_text"), F.col("_at"), FIRST).alias("key"))
-    width, turn = FIRST, 0
-    keys = ["key"]
+    texts = ranks = scratch.keep(each.select("read_id", (F.col("_base") + F.col("_at")).cast("long").alias("pos"), cut(F.col("_text"), F.col("_at"), FIRST).alias("key")), "keys-0")
+    keys, width, levels = ["key"], FIRST, []
     while True:
-        ranks = scratch.keep(ranks, f"keys-{turn}")
+        turn = len(levels)
+        if turn:
+            ranks = scratch.keep(ranks, f"keys-{turn}")
         distinct = numbered(ranks.select(*keys).distinct(), keys, scratch, f"ranks-{turn}", "rank")
         ranks = scratch.keep(ranks.join(distinct, keys).select("read_id", "pos", "rank"), f"ranked-{turn}")
+        levels.append((width, ranks))
         if width > longest or distinct.count() == ranks.count():
-            break
+            return texts, levels
         ahead = ranks.select("read_id", (F.col("pos") - width).alias("pos"), F.col("rank").alias("next"))
         ranks = ranks.join(ahead, ["read_id", "pos"], "left").select("read_id", "pos", F.col("rank").alias("own"), F.coalesce("next", F.lit(-1)).alias("next"))
-        keys, width, turn = ["own", "next"], width * 2, turn + 1
-    return numbered(ranks, ["rank", "read_id"], scratch, "order", "sa_idx").select("sa_idx", "read_id", "pos")
+        keys, width = ["own", "next"], width * 2
+
+
+def suffix_order_doubling(reads: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sa_idx, read_id, pos) for reads of any length: ranks of prefixes that double in length."""
+    _, levels = prefix_ranks(reads, scratch)
+    return numbered(levels[-1][1], ["rank", "read_id"], scratch, "order", "sa_idx").select("sa_idx", "read_id", "pos")
+
+
+def lcp_doubling(reads: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sa_idx, read_id, pos, lcp) as lcp() has it, for reads of any length.
+
+    From the widest prefixes down, neighbours whose ranks agree where they have come to go on by
+    the width, or to the reads' end; what is left is shorter than FIRST and compared as text.
+    """
+    texts, levels = prefix_ranks(reads, scratch)
+    order = numbered(levels[-1][1], ["rank", "read_id"], scratch, "order", "sa_idx").select("sa_idx", "read_id", "pos")
+    before = order.select((F.col("sa_idx") + 1).alias("sa_idx"), F.col("read_id").alias("_read"), F.col("pos").alias("_pos"))
+    sizes = reads.select("read_id", F.coalesce(F.length("seq"), F.lit(0)).alias("_n"))
+    pairs = order.join(before, "sa_idx", "left").join(sizes, "read_id").withColumn("lcp", F.lit(0).cast("long"))
+
+    def meet(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+        """pairs with both suffixes' values where they have come to, as _a and _b."""
+        placed = pairs.withColumns({"_at": F.col("pos") + F.col("lcp"), "_other": F.col("_pos") + F.col("lcp")})
+        own = values.select("read_id", F.col("pos").alias("_at"), F.col(value).alias("_a"))
+        other = values.select(F.col("read_id").alias("_read"), F.col("pos").alias("_other"), F.col(value).alias("_b"))
+        return placed.join(own, ["read_id", "_at"], "left").join(other, ["_read", "_other"], "left")
+
+    for width, ranks in reversed(levels):
+        further = F.when(F.col("_a") == F.col("_b"), F.least(F.lit(width), F.col("_n") - F.col("_at"))).otherwise(0)
+        pairs = scratch.keep(meet(pairs, ranks, "rank").withColumn("lcp", (F.col("lcp") + further).cast("long")).drop("_at", "_other", "_a", "_b"), f"lcp-{width}")
+    rest = F.coalesce(common_prefix(F.col("_a"), F.col("_b")), F.lit(0))
+    return meet(pairs, texts, "key").select("sa_idx", "read_id", "pos", (F.col("lcp") + rest).cast("long").alias("lcp"))
 
 
 def bwt(order: DataFrame, reads: DataFrame) -> DataFrame:
     """(sa_idx, symbol): what stands before each suffix, END before a read's first."""
-    joined = order.select("sa_idx", "read_id", "pos").join(reads.select("read_id", "seq"), "read_id")
-    return joined.select("sa_idx", F.when(F.col("pos") == 0, END).otherwise(cut(F.col("seq"), F.col("pos") - 1, 1)).alias("symbol"))
+    symbols = extract(reads, 1).select("read_id", (F.col("pos") + 1).alias("pos"), F.col("kmer").alias("symbol"))
+    joined = order.select("sa_idx", "read_id", "pos").join(symbols, ["read_id", "pos"], "left")
+    return joined.select("sa_idx", F.coalesce("symbol", F.lit(END)).alias("symbol"))
 
 
 def bwt_runs(transform: DataFrame) -> DataFrame:

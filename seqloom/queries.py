@@ -368,6 +368,11 @@ def lcp(spark, d):
     return suffix.lcp(_order(spark, d, Scratch(spark)))
 
 
+@query(f"WITH {_LCP} SELECT * FROM lcp")
+def lcp_doubling(spark, d):
+    return suffix.lcp_doubling(bind.name_reads(spark, d), Scratch(spark))
+
+
 @query(f"WITH {_LCP}, {_STARTS.format('names')} SELECT start_pos + pos AS text_pos, lcp AS plcp FROM lcp JOIN starts USING (read_id)")
 def plcp(spark, d):
     scratch = Scratch(spark)

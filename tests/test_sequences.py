@@ -108,6 +108,9 @@ def test_prefix_doubling_equals_the_sort(spark):
     seqs = ["A" * 70, "A" * 70, "", "ACAC" * 20, *["".join(draw.choice("AC") for _ in range(draw.randrange(60))) for _ in range(12)]]
     direct = suffix.suffix_order(reads_of(spark, seqs), Scratch(spark))
     assert rows(suffix.suffix_order_doubling(reads_of(spark, seqs), Scratch(spark)), "sa_idx", "read_id", "pos") == rows(direct, "sa_idx", "read_id", "pos")
+    found = suffix.lcp_doubling(reads_of(spark, seqs), Scratch(spark))
+    assert rows(found, "sa_idx", "read_id", "pos", "lcp") == rows(suffix.lcp(direct), "sa_idx", "read_id", "pos", "lcp")
+    assert suffix.lcp_doubling(reads_of(spark, seqs).limit(0), Scratch(spark)).count() == 0
 
 
 def test_rank_and_select(spark, monkeypatch):
@@ -166,6 +169,11 @@ def test_command_line(spark, tmp_path, capsys):
     assert totals.asDict() == {"n_queries": 24, "q1": 24, "q2": 24, "q3": 44, "q4": 44}
     main(["grep", "-n", "2", "GATTACA", source])
     main(["profile", "-r", made, "0"])
+    asked = tmp_path / "patterns"
+    asked.write_text("GATTACA\nTT\n")
+    main(["locate", str(asked), source])
+    main(["locate", "-c", str(asked), source])
+    main(["display", source, "0", "1", "3"])
     main(["merge", made, made, str(tmp_path / "both")])
     assert store.load(spark, str(tmp_path / "both")).stats.where("kmer = 'AGA'").first()["q4"] == 2
     main(["bwt", source, str(tmp_path / "bwt")])
