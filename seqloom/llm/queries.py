@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, lines, mixing, neighbours, quality, sharding, simhash, token_files, warc
+from . import byte_bpe, divergence, language, lines, mixing, neighbours, quality, sharding, simhash, token_files, warc
 from .common import Scratch, doc_key, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,29 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_lines"] = op5_lines
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+QUERIES["op13_divergence"] = op13_divergence
+
+_SHARE_SQL = "(1 + (1000000000::hugeint * ({n} + 5)) // ({total} + 5 * v))".format
+ORACLE["op13_divergence"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS MATERIALIZED (
+  SELECT lang, source, coalesce(any_value(x.n), 0) AS total, coalesce(any_value(vs.v), 0) AS v FROM (SELECT DISTINCT lang, source FROM d) s
+  LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) x USING (lang, source) LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY lang) vs USING (lang) GROUP BY ALL),
+l AS (SELECT lang, sum(total) AS whole FROM g GROUP BY lang),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_SHARE_SQL(n="coalesce(c.n, 0)", total="total")} AS p FROM g JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (SELECT lang, term, any_value({_SHARE_SQL(n="cn", total="whole")}) AS q FROM (SELECT lang, term, sum(n) AS cn FROM c GROUP BY ALL) JOIN l USING (lang) JOIN g USING (lang) GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::bigint AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT p.lang, p.source, p.term AS item, (p.p - q.q)::bigint AS value FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q),
+every AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::int AS rank FROM every)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50"""
