@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, divergence, language, lines, mixing, neighbours, quality, sharding, simhash, token_files, warc
+from . import byte_bpe, centroids, divergence, language, lines, mixing, neighbours, quality, sharding, simhash, token_files, warc
 from .common import Scratch, doc_key, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,3 +208,36 @@ terms AS (SELECT p.lang, p.source, p.term AS item, (p.p - q.q)::bigint AS value
 every AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::int AS rank FROM every)
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    sums = assigned.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
+    named = found.select("cluster", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256).alias("centroid_sha256"))
+    each = sums.join(F.broadcast(named), "cluster")  # a row for each centroid
+    whole = sums.agg(F.sum("cluster_inertia").alias("inertia"))
+    joined = assigned.join(F.broadcast(each), "cluster").join(F.broadcast(whole))  # as few, and one row
+    return joined.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+QUERIES["op12_centroids"] = op12_centroids
+
+
+def _centroids_sql(dimension: int = 64, k: int = 40, rounds: int = 5) -> str:
+    """A CTE for each round: nearest centroids by arg_min, means rounded down."""
+    steps = [
+        f"vs AS MATERIALIZED (SELECT vec_id, embedding AS e FROM embeddings WHERE len(embedding) = {dimension} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dimension})",
+        "xs AS MATERIALIZED (SELECT vec_id, unnest(range(0, len(e))) AS j, floor(256 * unnest(e)::double)::bigint AS x FROM vs)",
+        f"c0 AS MATERIALIZED (SELECT c, j, x FROM (SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id::varchar)) - 1 AS c FROM vs QUALIFY c < {k}) JOIN xs USING (vec_id))",
+    ]
+    for turn in range(rounds + 1):
+        steps.append(f"a{turn} AS MATERIALIZED (SELECT vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT vec_id, c, sum((xs.x - c{turn}.x) * (xs.x - c{turn}.x))::bigint AS d FROM xs JOIN c{turn} USING (j) GROUP BY vec_id, c) GROUP BY vec_id)")
+        if turn < rounds:
+            steps.append(f"m{turn} AS (SELECT c, j, sum(x)::bigint AS s, count(*) AS n FROM a{turn} JOIN xs USING (vec_id) GROUP BY c, j)")
+            steps.append(f"c{turn + 1} AS MATERIALIZED (SELECT c, j, coalesce((m{turn}.s - ((m{turn}.s % n) + n) % n) // n, c{turn}.x)::bigint AS x FROM c{turn} LEFT JOIN m{turn} USING (c, j))")
+    return f"""WITH {", ".join(steps)},
+shown AS (SELECT c, sha256(string_agg(x::varchar, ',' ORDER BY j)) AS h FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::int AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::bigint AS cluster_inertia, (sum(d) OVER ())::bigint AS inertia, h AS centroid_sha256 FROM a{rounds} JOIN shown USING (c)"""
+
+
+ORACLE["op12_centroids"] = _centroids_sql()
