@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, centroids, divergence, language, lines, mixing, neighbours, quality, sharding, simhash, token_files, warc
+from . import byte_bpe, centroids, divergence, language, lines, mixing, neighbours, quality, sharding, simhash, token_files, url_filter, warc
 from .common import Scratch, doc_key, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -241,3 +241,50 @@ SELECT vec_id, c::int AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c)):
 
 
 ORACLE["op12_centroids"] = _centroids_sql()
+
+
+#: The rules of the production set-up.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES["op11_url_filter"] = op11_url_filter
+
+
+def _url_filter_sql(limits: url_filter.Limits = url_filter.Limits()) -> str:
+    """A group of CTEs for each level of the trees."""
+    fits = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')".format
+    rules = [(text, what, *text.split("/", 1)) for what, text in sorted(URL_RULES, key=lambda r: -len(r[1]))]
+    case = lambda k: "CASE " + " ".join(f"WHEN {fits(r[2], '/' + r[3])} THEN '{r[k]}'" for r in rules) + " END"
+    smooth, z = f"{limits.smooth}::double", f"{limits.z}::double"
+    steps = [
+        f"u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{url_filter.URL}', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '{url_filter.URL}', 2) AS path FROM pages)",
+        f"j AS MATERIALIZED (SELECT *, {case(0)} AS rule, {case(1)} AS label, regexp_replace(path, '[0-9]+', '#', 'g') AS pattern FROM u)",
+        "ps AS MATERIALIZED (SELECT host, pattern, count(*) AS n, count(*) FILTER (label = 'allow') AS allow, count(*) FILTER (label = 'block') AS block FROM j GROUP BY ALL)",
+        "o AS (SELECT (coalesce(sum(block), 0)::double + 1) / (coalesce(sum(allow), 0)::double + coalesce(sum(block), 0)::double + 2) AS g FROM ps)",
+        f"l0 AS MATERIALIZED (SELECT host, '' AS node, pattern, CASE WHEN pattern = '' THEN [] ELSE string_split(substr(pattern, 2), '/') END AS s, n, allow, block, (sum(block) OVER w + {smooth} * (SELECT g FROM o)) / (sum(allow) OVER w + sum(block) OVER w + {smooth}) AS purity FROM ps WINDOW w AS (PARTITION BY host))",
+    ]
+    for i in range(limits.depth):
+        steps += [
+            f"b{i} AS (SELECT *, s[{i + 1}] AS segment, sum(n) OVER (PARTITION BY host, node, s[{i + 1}]) AS own, sum(n) OVER (PARTITION BY host, node) AS total FROM l{i} WHERE len(s) > {i})",
+            f"k{i} AS MATERIALIZED (SELECT *, CASE WHEN own * {limits.share} >= total AND own >= {limits.least} THEN segment ELSE '*' END AS branch FROM b{i})",
+            f"""m{i} AS (SELECT *, CASE WHEN m > 0 THEN block::double / m ELSE 0 END AS rate FROM (SELECT host, node, branch, any_value(purity) AS purity, sum(block)::bigint AS block, sum(allow + block)::bigint AS m,
+              sum(CASE WHEN len(s) <= {i + 1} THEN n ELSE 0 END)::double / sum(n)::double AS ended, sum(CASE WHEN contains(s[{i + 2}], '#') THEN n ELSE 0 END)::double / sum(n)::double AS numbered FROM k{i} GROUP BY host, node, branch))""",
+            f"n{i} AS (SELECT *, lag(m) OVER w AS pm, lag(block) OVER w AS pb, lag(rate) OVER w AS pr, lag(ended) OVER w AS pe, lag(numbered) OVER w AS pn, m > 0 AS f, CASE WHEN ended >= 0.5 THEN 0 WHEN numbered >= 0.5 THEN 1 ELSE 2 END AS kind FROM m{i} WINDOW w AS (PARTITION BY host, node ORDER BY m > 0, CASE WHEN ended >= 0.5 THEN 0 WHEN numbered >= 0.5 THEN 1 ELSE 2 END, rate, branch))",
+            f"""d{i} AS (SELECT *, CASE WHEN pm IS NULL OR abs(ended - pe) > {limits.shape} OR abs(numbered - pn) > {limits.shape} OR f <> (pm > 0)
+              OR (m > 0 AND (rate - pr) * (rate - pr) > {z} * {z} * ((block + pb)::double / (m + pm)) * (1 - (block + pb)::double / (m + pm)) * (1.0::double / m + 1.0::double / pm)) THEN 1 ELSE 0 END AS new FROM n{i})""",
+            f"e{i} AS (SELECT *, sum(new) OVER (PARTITION BY host, node ORDER BY f, kind, rate, branch) AS part FROM d{i})",
+            f"g{i} AS MATERIALIZED (SELECT host, node, branch, list_aggregate(list_sort(list(branch) OVER w), 'string_agg', '|') AS name, (sum(block) OVER w + {smooth} * purity) / (sum(m) OVER w + {smooth}) AS purity FROM e{i} WINDOW w AS (PARTITION BY host, node, part))",
+            f"l{i + 1} AS MATERIALIZED (SELECT host, node || '/' || name AS node, pattern, s, n, allow, block, g{i}.purity FROM k{i} JOIN g{i} USING (host, node, branch))",
+        ]
+    every = " UNION ALL ".join(f"SELECT host, pattern, purity FROM l{i} WHERE len(s) = {i}" if i < limits.depth else f"SELECT host, pattern, purity FROM l{i}" for i in range(limits.depth + 1))
+    return f"""WITH {", ".join(steps)},
+t AS ({every})
+SELECT page_id, host, path, rule, coalesce(label, CASE WHEN purity > {limits.reject} THEN 'block' ELSE 'allow' END) AS verdict FROM j JOIN t USING (host, pattern)"""
+
+
+ORACLE["op11_url_filter"] = _url_filter_sql()
