@@ -54,7 +54,7 @@ def shares(n: np.ndarray, total: np.ndarray) -> np.ndarray:
     return found + 1
 
 
-def _evaluate(key: tuple, columns: pa.Table, groups: pa.Table) -> pa.Table:
+def _evaluate(key: tuple, columns: pa.Table, groups: pa.Table, tile: int) -> pa.Table:
     """Pairs of sources (the first of this tile, the second after it) with the sum over some columns."""
     groups = groups.sort_by("source")
     names, terms = groups.column("source").combine_chunks(), groups.column("terms")[0].as_py()
@@ -65,7 +65,7 @@ def _evaluate(key: tuple, columns: pa.Table, groups: pa.Table) -> pa.Table:
     counts[row, pc.index_in(entries.field("source"), value_set=names).to_numpy(zero_copy_only=False)] += entries.field("n").to_numpy(zero_copy_only=False)
     times = columns.column("times").to_numpy()
     found = shares(counts, groups.column("total").to_numpy() + ADDED * terms) if terms else counts
-    first = np.arange(key[2].as_py() * TILE, min((key[2].as_py() + 1) * TILE, len(names)))
+    first = np.arange(key[2].as_py() * tile, min((key[2].as_py() + 1) * tile, len(names)))
     values = [times @ np.abs(found[:, s + 1 :] - found[:, s : s + 1]) for s in first]
     many = [len(x) for x in values]
     a, b = np.repeat(first, many), np.concatenate([np.arange(s + 1, len(names)) for s in first]) if len(first) else np.zeros(0, dtype=np.int64)
@@ -90,7 +90,7 @@ def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     A column of counts has an entry for each source at most, as the result has a row for each pair
     of them. Columns are dealt by a hash to blocks whose size falls with the number of sources.
     """
-    scratch = Scratch(docs.sparkSession, "divergence")
+    scratch, tile = Scratch(docs.sparkSession, "divergence"), TILE
     counts = scratch.keep(term_counts(docs, text_col=text_col, lang_col=lang_col, source_col=source_col), "counts")
     vector = F.array_sort(F.collect_list(F.struct("source", "n"))).alias("vector")
     terms = scratch.keep(counts.groupBy("lang", "term").agg(F.sum("d").alias("d"), F.sum("n").alias("all"), vector).where(F.col("d") >= least_documents).select("lang", "term", "all", "vector"), "terms")
@@ -101,14 +101,14 @@ def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     groups = named.join(totals, ["lang", "source"], "left").withColumn("total", F.coalesce("total", F.lit(0)).cast("long"))
     kept = columns.groupBy("lang").agg(F.count(F.lit(1)).alias("columns"), F.sum("times").alias("terms"))
     langs = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("sources"), F.sum("total").alias("whole")).join(kept, "lang", "left").na.fill(0, ["columns", "terms"])
-    langs = langs.withColumns({"blocks": F.greatest(F.lit(1), F.ceil(F.col("columns") * F.col("sources") / CELLS)), "tiles": F.ceil(F.col("sources") / TILE)})
+    langs = langs.withColumns({"blocks": F.greatest(F.lit(1), F.ceil(F.col("columns") * F.col("sources") / CELLS)), "tiles": F.ceil(F.col("sources") / tile)})
     groups = scratch.keep(groups.join(langs, "lang"), "groups")
 
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     mine = columns.join(langs.select("lang", "blocks", "tiles"), "lang").withColumn("block", F.pmod(F.xxhash64("vector"), F.col("blocks"))).select("lang", "block", every("tiles").alias("tile"), "vector", "times")
     theirs = groups.select("lang", "source", "total", "terms", "tiles", every("blocks").alias("block")).select("lang", "block", every("tiles").alias("tile"), "source", "total", "terms")
     by = ["lang", "block", "tile"]
-    pairs = mine.groupBy(*by).cogroup(theirs.groupBy(*by)).applyInArrow(_evaluate, "lang string, a string, b string, value long")
+    pairs = mine.groupBy(*by).cogroup(theirs.groupBy(*by)).applyInArrow(lambda key, a, b: _evaluate(key, a, b, tile), "lang string, a string, b string, value long")
     pairs = pairs.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     pairs = scratch.keep(pairs, "pairs")
     both = pairs.select("lang", F.col("a").alias("source"), F.col("b").alias("item"), "value").unionByName(pairs.select("lang", F.col("b").alias("source"), F.col("a").alias("item"), "value"))
