@@ -21,10 +21,17 @@ def positions(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
-def pieces(reads: DataFrame, length: int) -> DataFrame:
-    """(read_id, piece, text): for each CHUNK positions of a read the text from there on, of at most that length."""
-    some = reads.select("read_id", "seq", F.explode(positions(F.ceil(F.length("seq") / CHUNK))).alias("piece"))
-    return some.select("read_id", F.col("piece").cast("long").alias("piece"), cut(F.col("seq"), F.col("piece") * CHUNK, length).alias("text"))
+def pieces(reads: DataFrame, length: Column | int, *keep: str, step: int = CHUNK) -> DataFrame:
+    """(read_id, piece, text), with further columns to keep: for each step positions of a read the
+    text from there on, of at most that length.
+
+    Long reads are cut twice: a place in a text is found from its start.
+    """
+    far = max(step, 1 << 16) // step * step
+    some = reads.select("read_id", *keep, "seq", (length if isinstance(length, Column) else F.lit(length)).alias("_length"), F.explode(positions(F.ceil(F.length("seq") / far))).alias("_part"))
+    some = some.select("read_id", *keep, "_length", "_part", F.least(F.lit(far), F.length("seq") - F.col("_part") * far).alias("_n"), cut(F.col("seq"), F.col("_part") * far, F.col("_length") + far).alias("_text"))
+    each = some.select("read_id", *keep, "_length", "_part", "_text", F.explode(positions(F.ceil(F.col("_n") / step))).alias("_at"))
+    return each.select("read_id", *keep, (F.col("_part").cast("long") * (far // step) + F.col("_at")).alias("piece"), cut(F.col("_text"), F.col("_at") * step, F.col("_length")).alias("text"))
 
 
 def extract(reads: DataFrame, k: int, *keep: str) -> DataFrame:
@@ -89,12 +96,13 @@ def last_flags(kmers: DataFrame) -> DataFrame:
 
 
 def left_neighbours(reads: DataFrame, k: int) -> DataFrame:
-    """(kmer, symbol, n): which symbols stand before each k-mer; $ where it starts its read.
+    """(kmer, symbol, n): which symbols stand before each k-mer; null where it starts its read.
 
-    A k-mer with the symbol before it is a (k + 1)-mer of the read that a $ is put before."""
-    longer = extract(reads.select("read_id", F.concat(F.lit("$"), "seq").alias("seq")), k + 1)
-    counts = longer.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(cut(F.col("kmer"), F.lit(1), k).alias("kmer"), F.substring("kmer", 1, 1).alias("symbol"), "n")
+    A k-mer with the symbol before it is a (k + 1)-mer; those without one are the reads' first."""
+    counts = extract(reads, k + 1).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    inside = counts.select(cut(F.col("kmer"), F.lit(1), k).alias("kmer"), F.substring("kmer", 1, 1).alias("symbol"), "n")
+    first = reads.where(F.length("seq") >= k).groupBy(F.substring("seq", 1, k).alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
+    return inside.unionByName(first.select("kmer", F.lit(None).cast("string").alias("symbol"), "n"))
 
 
 def read_starts(kmers: DataFrame) -> DataFrame:

@@ -15,8 +15,6 @@ from ..functions.sequence import common_prefix, cut
 from ..plans.scale import Scratch, numbered, running_sum
 from .kmers import extract, positions
 
-#: The symbol that stands for a terminator.
-END = "$"
 #: Symbols of the first sort key of prefix doubling.
 FIRST = 16
 
@@ -96,24 +94,25 @@ def lcp_doubling(reads: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def bwt(order: DataFrame, reads: DataFrame) -> DataFrame:
-    """(sa_idx, symbol): what stands before each suffix, END before a read's first."""
+    """(sa_idx, symbol): what stands before each suffix, null (a terminator) before a read's first."""
     symbols = extract(reads, 1).select("read_id", (F.col("pos") + 1).alias("pos"), F.col("kmer").alias("symbol"))
     joined = order.select("sa_idx", "read_id", "pos").join(symbols, ["read_id", "pos"], "left")
-    return joined.select("sa_idx", F.coalesce("symbol", F.lit(END)).alias("symbol"))
+    return joined.select("sa_idx", "symbol")
 
 
 def bwt_runs(transform: DataFrame) -> DataFrame:
-    """One row: n_runs of equal symbols, those of END left out. Neighbours are met by their number."""
+    """One row: n_runs of equal symbols, those of terminators left out. Neighbours are met by their number."""
     before = transform.select((F.col("sa_idx") + 1).alias("sa_idx"), F.col("symbol").alias("_before"))
-    joined = transform.where(F.col("symbol") != END).join(before, "sa_idx", "left")
-    return joined.agg(F.count_if(F.coalesce("_before", F.lit("")) != F.col("symbol")).alias("n_runs"))
+    joined = transform.where(F.col("symbol").isNotNull()).join(before, "sa_idx", "left")
+    return joined.agg(F.count_if(~F.col("_before").eqNullSafe(F.col("symbol"))).alias("n_runs"))
 
 
 def symbol_starts(transform: DataFrame) -> DataFrame:
-    """(symbol, n, first): how often each symbol occurs, and how many smaller ones there are."""
+    """(symbol, n, first): how often each symbol occurs, and how many smaller ones there are. Terminators,
+    the null symbol, are below all others."""
     counts = transform.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
-    # END is below all symbols; the alphabet is what meets in one task.
-    order = Window.orderBy(F.col("symbol") != END, "symbol").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each code point that occurs meets in one task: 1,114,112 at most.
+    order = Window.orderBy(F.col("symbol").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     return counts.select("symbol", "n", F.coalesce(F.sum("n").over(order), F.lit(0)).cast("long").alias("first"))
 
 
@@ -126,8 +125,8 @@ def psi(order: DataFrame) -> DataFrame:
 def last_to_first(transform: DataFrame) -> DataFrame:
     """(sa_idx, symbol, lf) of the rows that a symbol stands before: the row of the suffix one
     symbol longer, its first row number plus the symbol's rank."""
-    ranks = running_sum(transform.where(F.col("symbol") != END), F.lit(1).cast("long"), "sa_idx", "_rank", keys=["symbol"])
-    return ranks.join(F.broadcast(symbol_starts(transform)), "symbol").select("sa_idx", "symbol", (F.col("first") + F.col("_rank") - 1).alias("lf"))  # a row for each symbol
+    ranks = running_sum(transform.where(F.col("symbol").isNotNull()), F.lit(1).cast("long"), "sa_idx", "_rank", keys=["symbol"])
+    return ranks.join(F.broadcast(symbol_starts(transform)), "symbol").select("sa_idx", "symbol", (F.col("first") + F.col("_rank") - 1).alias("lf"))  # a row for each code point
 
 
 def lcp(order: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def _stats(name: str = "st", of: str = "km") -> str:
 
 #: Suffixes of the names, terminators included, in order.
 _ORDER = _NAMES + ", sa AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY suffix, read_id) - 1)::bigint AS sa_idx, read_id, p::bigint AS pos, suffix, seq FROM (SELECT read_id, p, seq, substr(seq, p + 1) AS suffix FROM (SELECT read_id, seq, unnest(range(0, length(seq) + 1)) AS p FROM names)))"
-_BWT = _ORDER + ", bwt AS MATERIALIZED (SELECT sa_idx, read_id, pos, CASE WHEN pos = 0 THEN '$' ELSE substr(seq, pos, 1) END AS symbol FROM sa)"
+_BWT = _ORDER + ", bwt AS MATERIALIZED (SELECT sa_idx, read_id, pos, CASE WHEN pos > 0 THEN substr(seq, pos, 1) END AS symbol FROM sa)"
 _STARTS = "starts AS MATERIALIZED (SELECT read_id, seq, (coalesce(sum(length(seq) + 1) OVER (ORDER BY read_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::bigint AS start_pos FROM {0})"
 
 
@@ -120,7 +120,7 @@ def last_flags(spark, d):
     return kmers.last_flags(kmers.extract(bind.name_reads(spark, d), K_NAME))
 
 
-@query(f"WITH {_NAMES}, {_kmers(K_NAME, 'names')} SELECT kmer, CASE WHEN pos = 0 THEN '$' ELSE substr(seq, pos, 1) END AS symbol, count(*)::bigint AS n FROM km JOIN names USING (read_id) GROUP BY 1, 2")
+@query(f"WITH {_NAMES}, {_kmers(K_NAME, 'names')} SELECT kmer, CASE WHEN pos > 0 THEN substr(seq, pos, 1) END AS symbol, count(*)::bigint AS n FROM km JOIN names USING (read_id) GROUP BY 1, 2")
 def left_neighbours(spark, d):
     reads = bind.name_reads(spark, d)
     return kmers.left_neighbours(reads, K_NAME)
@@ -340,12 +340,12 @@ def bwt(spark, d):
     return suffix.bwt(_order(spark, d, Scratch(spark)), bind.name_reads(spark, d))
 
 
-@query(f"WITH {_BWT} SELECT count(*) FILTER (symbol <> '$' AND symbol IS DISTINCT FROM before)::bigint AS n_runs FROM (SELECT symbol, lag(symbol) OVER (ORDER BY sa_idx) AS before FROM bwt)")
+@query(f"WITH {_BWT} SELECT count(*) FILTER (symbol IS NOT NULL AND symbol IS DISTINCT FROM before)::bigint AS n_runs FROM (SELECT symbol, lag(symbol) OVER (ORDER BY sa_idx) AS before FROM bwt)")
 def bwt_runs(spark, d):
     return suffix.bwt_runs(suffix.bwt(_order(spark, d, Scratch(spark)), bind.name_reads(spark, d)))
 
 
-@query(f"WITH {_BWT}, ct AS (SELECT symbol, count(*)::bigint AS n FROM bwt GROUP BY 1) SELECT symbol, n, coalesce(sum(n) OVER (ORDER BY symbol <> '$', symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS first FROM ct")
+@query(f"WITH {_BWT}, ct AS (SELECT symbol, count(*)::bigint AS n FROM bwt GROUP BY 1) SELECT symbol, n, coalesce(sum(n) OVER (ORDER BY symbol NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS first FROM ct")
 def symbol_starts(spark, d):
     return suffix.symbol_starts(suffix.bwt(_order(spark, d, Scratch(spark)), bind.name_reads(spark, d)))
 

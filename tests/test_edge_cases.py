@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import codes, coords, kmers, patterns, profiles
+from seqloom.operators import codes, coords, kmers, patterns, profiles, suffix
 from seqloom.plans.scale import Scratch
 from seqloom.sources import reads as sources
 from seqloom.streaming import counts
@@ -67,7 +67,7 @@ def test_symbols_before_kmers(spark):
     want = {}
     for _, seq in plain:
         for p in range(len(seq or "") - 2):
-            key = seq[p : p + 3], seq[p - 1] if p else "$"
+            key = seq[p : p + 3], seq[p - 1] if p else None
             want[key] = want.get(key, 0) + 1
     assert {(x.kmer, x.symbol): x.n for x in kmers.left_neighbours(reads, 3).collect()} == want
 
@@ -99,3 +99,47 @@ def test_dense_alphabet(spark):
     seq = spark.createDataFrame([(0, "b"), (1, None), (2, "a"), (3, "b")], "i long, c string")
     assert rows(codes.dense_alphabet(seq, Scratch(spark)), "c", "mapped") == [("a", 1), ("b", 2)]
     assert codes.dense_alphabet(seq.where(F.lit(False)), Scratch(spark)).count() == 0
+
+
+def test_reads_with_the_printed_terminator(spark):
+    seqs = ["a$b$", "$a", "", "$$", None]
+    reads = spark.createDataFrame(list(enumerate(seqs)), READS)
+    order = suffix.suffix_order(reads, Scratch(spark))
+    sa = [(i, p) for _, i, p in sorted((s[p:].encode(), i, p) for i, s in enumerate(x or "" for x in seqs) for p in range(len(s) + 1))]
+    before = [seqs[i][p - 1] if p else None for i, p in sa]
+    symbols = suffix.bwt(order, reads)
+    assert [x.symbol for x in symbols.orderBy("sa_idx").collect()] == before
+    assert suffix.bwt_runs(symbols).first()[0] == sum(c is not None and (k == 0 or before[k - 1] != c) for k, c in enumerate(before))
+    smaller = lambda c: sum(x is None or (c is not None and x < c) for x in before) if c is not None else 0
+    assert {(x.symbol, x.n, x.first) for x in suffix.symbol_starts(symbols).collect()} == {(c, before.count(c), smaller(c)) for c in set(before)}
+    assert rows(suffix.last_to_first(symbols), "sa_idx", "lf") == [(k, sa.index((i, p - 1))) for k, (i, p) in enumerate(sa) if p]
+    found = {(x.kmer, x.symbol): x.n for x in kmers.left_neighbours(reads, 1).collect()}
+    assert found[("a", None)] == 1 and found[("$", None)] == 2 and found[("a", "$")] == 1 and found[("$", "$")] == 1
+
+
+@pytest.mark.parametrize("seq,pattern", [("AC" * 1_000_000, "A"), ("A" * 300_000, "AAAA")])
+def test_a_million_matches_in_a_read(spark, seq, pattern):
+    reads = spark.createDataFrame([(1, seq)], READS)
+    asked = spark.createDataFrame([(0, pattern)], "pattern_id long, pattern string")
+    found = patterns.locate(reads, asked).agg(F.count(F.lit(1)), F.sum("pos"), F.max("pos")).first()
+    at = [p for p in range(len(seq)) if seq.startswith(pattern, p)]
+    assert tuple(found) == (len(at), sum(at), at[-1])
+
+
+def test_a_very_long_pattern_beside_short_ones(spark):
+    draw = random.Random(8)
+    long = "".join(draw.choices("ACGT", k=300_000))
+    plain = [(0, long + "AC"), (1, "G" + long), (2, long[:-1] + ("A" if long[-1] != "A" else "C")), (3, long[:3000])]
+    asked = [(0, long), (1, long[:2000]), (2, long[5:400]), (3, long[:20]), (4, long[7:9])]
+    found = patterns.locate(spark.createDataFrame(plain, READS), spark.createDataFrame(asked, "pattern_id long, pattern string").where("pattern_id < 4"), scan_up_to=0)
+    want = sorted((i, r, p) for i, x in asked[:4] for r, s in plain for p in (s.find(x),) if p >= 0)
+    assert rows(found, "pattern_id", "read_id", "pos") == want
+
+
+@pytest.mark.parametrize("context", [0, 3, 3000])
+def test_context_across_pieces(spark, context):
+    draw = random.Random(2)
+    plain = [(i, "".join(draw.choices("AC", k=n))) for i, n in enumerate((0, 4, 1023, 1030, 5000))]
+    found = patterns.grep_context(spark.createDataFrame(plain, READS), "ACCA", context)
+    want = sorted((r, p, s[max(p - context, 0) : p + 4 + context]) for r, s in plain for p in range(len(s)) if s.startswith("ACCA", p))
+    assert rows(found, "read_id", "pos", "match") == want
