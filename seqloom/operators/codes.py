@@ -1,50 +1,18 @@
-"""Permutations, Huffman code lengths, alphabet maps and gaps."""
+"""Permutations, alphabet maps and gaps."""
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scale import Scratch, numbered
 
-#: Symbols of an alphabet that the driver may build a code for.
-ALPHABET = 1_000_000
-
 
 def invert(permutation: DataFrame) -> DataFrame:
     """permutation(i, pi) -> (i, rev_pi)."""
     return permutation.select(F.col("pi").alias("i"), F.col("i").alias("rev_pi"))
 
 
-def code_lengths(counts: dict) -> dict:
-    """Bits of a Huffman code for each symbol; a single symbol has one bit."""
-    if len(counts) == 1:
-        return dict.fromkeys(counts, 1)
-    heap = [(n, k, (symbol,)) for k, (symbol, n) in enumerate(sorted(counts.items(), key=lambda x: str(x[0])))]
-    heapq.heapify(heap)
-    lengths, k = dict.fromkeys(counts, 0), len(heap)
-    while len(heap) > 1:
-        (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-        for symbol in x + y:
-            lengths[symbol] += 1
-        heapq.heappush(heap, (a + b, k, x + y))
-        k += 1
-    return lengths
-
-
-def huffman_size(seq: DataFrame) -> DataFrame:
-    """One row: n, n_symbols, total_bits. Only the symbols' counts reach the driver."""
-    rows = seq.groupBy("c").agg(F.count(F.lit(1)).alias("n")).limit(ALPHABET + 1).collect()
-    if len(rows) > ALPHABET:
-        raise ValueError(f"the alphabet has over {ALPHABET} symbols")
-    counts = {x["c"]: x["n"] for x in rows}
-    bits = code_lengths(counts)
-    total = sum(n * bits[c] for c, n in counts.items())
-    return seq.sparkSession.createDataFrame([(sum(counts.values()), len(counts), total)], "n long, n_symbols long, total_bits long")
-
-
 def dense_alphabet(seq: DataFrame, scratch: Scratch) -> DataFrame:
     """(c, mapped): symbols that occur, numbered from 1 in order."""
     found = numbered(seq.select("c").where("c IS NOT NULL").distinct(), ["c"], scratch, "alphabet", "_number")

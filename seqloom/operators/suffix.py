@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import common_prefix, cut
-from ..plans.scale import Scratch, numbered, running_sum
+from ..plans.scale import Scratch, numbered, running_sum, scan
 from .kmers import extract, positions
 
 #: Symbols of the first sort key of prefix doubling.
@@ -147,6 +147,42 @@ def lcp_samples(lcps: DataFrame, rate: int) -> DataFrame:
     return lcps.where(F.col("sa_idx") % rate == 0).select("sa_idx", "lcp")
 
 
+def plcp_samples(values: DataFrame) -> DataFrame:
+    """The rows of values(text_pos, plcp) that the others follow from: those that aren't the value
+    before minus 1, as common prefixes in text order shrink by at most a symbol."""
+    before = values.select((F.col("text_pos") + 1).alias("text_pos"), F.col("plcp").alias("_before"))
+    joined = values.join(before, "text_pos", "left")
+    return joined.where(~F.coalesce(F.col("plcp") == F.col("_before") - 1, F.lit(False))).select("text_pos", "plcp")
+
+
+def plcp_from_samples(samples: DataFrame, places: DataFrame) -> DataFrame:
+    """(text_pos, plcp) of places(text_pos), dense from 0: the last sample up to each, less the way from it."""
+    marked = places.select("text_pos").join(samples.select("text_pos", (F.col("text_pos") + F.col("plcp")).alias("_reach")), "text_pos", "left")
+    return scan(marked, "text_pos", _last=("last", F.col("_reach"))).select("text_pos", (F.col("_last") - F.col("text_pos")).alias("plcp"))
+
+
+def insertion_ranks_doubling(reads: DataFrame, others: DataFrame, scratch: Scratch) -> DataFrame:
+    """insertion_ranks() for reads of any length: ranks of prefixes that double over both collections together."""
+    both = reads.select((F.col("read_id") * 2).alias("read_id"), "seq").unionByName(others.select((F.col("read_id") * 2 + 1).alias("read_id"), "seq"))
+    _, levels = prefix_ranks(both, scratch)
+    new = F.pmod("read_id", F.lit(2))
+    each = levels[-1][1].select("rank", new.alias("_new"), ((F.col("read_id") - new) / 2).cast("long").alias("read_id"), "pos", (F.lit(1) - new).cast("long").alias("_own")).withColumnRenamed("rank", "_rank")
+    found = numbered(each, ["_rank", "_new", "read_id"], scratch, "insertion", "_number", ("_own", "rank"))
+    return found.where("_new = 1").select("read_id", "pos", "rank")
+
+
+def merge_orders(first: DataFrame, second: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(sa_idx, second, read_id, pos): two suffix orders (sa_idx, read_id, pos) as one, the first's
+    suffixes before equal ones of the second. ranks(read_id, pos, rank): where the second's go.
+
+    A row of the second moves by its rank, one of the first by the second's rows up to it.
+    """
+    own = second.join(ranks, ["read_id", "pos"]).select((F.col("sa_idx") + F.col("rank")).alias("sa_idx"), F.lit(True).alias("second"), "read_id", "pos")
+    here = ranks.groupBy(F.col("rank").alias("sa_idx")).agg(F.count(F.lit(1)).alias("_n"))
+    moved = running_sum(first.select("sa_idx", "read_id", "pos").join(here, "sa_idx", "left"), F.coalesce("_n", F.lit(0)), "sa_idx", "_by")
+    return moved.select((F.col("sa_idx") + F.col("_by")).alias("sa_idx"), F.lit(False).alias("second"), "read_id", "pos").unionByName(own)
+
+
 def insertion_ranks(order: DataFrame, others: DataFrame, scratch: Scratch) -> DataFrame:
     """(read_id, pos, rank): for each suffix of other reads how many of order's rows are before
     it; equal suffixes of the collection come first."""

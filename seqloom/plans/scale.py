@@ -111,3 +111,17 @@ def numbered(df: DataFrame, order: Sequence[str], scratch: Scratch, name: str, o
         within = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
         found = found.withColumn(total[1], F.sum(total[0]).over(within) + F.col("_carried"))
     return found.drop("_part", "_at", "_offset", "_carried")
+
+
+#: Keys with over one row in so many are looked up in a broadcast: there are fewer than this.
+HOT = 1_000
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
+    """rows with the row of table of their key. table has each key once and, as weight, how many
+    rows have it: the keys with over one row in HOT are broadcast, the others dealt by a shuffle,
+    so that no task meets more than a thousandth of all rows with one key."""
+    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    hot, keys = F.col(weight) * HOT > total, list(keys)
+    most = F.broadcast(table.where(hot).drop(weight))
+    return rows.join(most, keys).unionByName(rows.join(F.broadcast(most.select(*keys)), keys, "left_anti").join(table.where(~hot).drop(weight), keys))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import sequence as fn
-from seqloom.operators import codes, coords, kmers, patterns, profiles, rankselect, suffix
+from seqloom.operators import coords, kmers, patterns, profiles, rankselect, suffix
 from seqloom.plans import index as store
 from seqloom.plans import scale
 from seqloom.plans.scale import Scratch
@@ -131,11 +131,6 @@ def test_rank_and_select(spark, monkeypatch):
     assert rows(rankselect.bit_runs(bits), "start", "length") == [(1, 2), (4, 1)]
 
 
-def test_huffman(spark):
-    assert codes.code_lengths({"a": 5, "b": 1, "c": 1}) == {"a": 1, "b": 2, "c": 2}
-    assert codes.code_lengths({"a": 5}) == {"a": 1}
-
-
 def test_merge_is_building_both(spark):
     a, b = ["GATTACA", "", "AC"], ["TTAC", "GATT"]
     scratch = Scratch(spark)
