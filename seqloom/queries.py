@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import sequence as fn
-from .operators import codes, coords, kmers, patterns, profiles, rankselect, suffix
+from .operators import backward, codes, coords, huffman, kmers, patterns, profiles, rankselect, ranktree, suffix
+from .operators.ranges import SymbolTree
 from .plans import bindings as bind
 from .plans import index as store
+from .plans import tables
 from .plans.scale import Scratch
 from .sources import reads as src
 from .streaming import counts as stream
@@ -390,6 +392,95 @@ def insertion_ranks(spark, d):
     return suffix.insertion_ranks(_order(spark, d, scratch), bind.nation_reads(spark, d), scratch)
 
 
+# suffix ranges
+
+_ASKED_RANGES = "pats AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 3 = 0 THEN reverse(x) ELSE x END AS pattern FROM (SELECT p_partkey, substr(p_name, (p_partkey % 5 + 1)::int, ({0})::int) AS x FROM part)), rg AS MATERIALIZED (SELECT query_id, coalesce(min(sa_idx), 1)::bigint AS sp, coalesce(max(sa_idx), 0)::bigint AS ep FROM pats LEFT JOIN sa ON length(suffix) > 0 AND starts_with(suffix, pattern) GROUP BY query_id)"
+_SHORT, _LONG = "p_partkey % 7", "p_partkey % 4 + 3"
+
+
+def _ranges(spark, d, scratch, length):
+    """A pattern of each name's symbols, some turned around; their suffix ranges, and the order."""
+    names = bind.name_reads(spark, d)
+    part = F.substring("seq", (F.col("read_id") % 5 + 1).cast("int"), length.cast("int"))
+    asked = names.select(F.col("read_id").alias("pattern_id"), F.when(F.col("read_id") % 3 == 0, F.reverse(part)).otherwise(part).alias("pattern"))
+    order = _order(spark, d, scratch)
+    return backward.pattern_ranges(suffix.bwt(order, names), asked, scratch).withColumnRenamed("pattern_id", "query_id"), order
+
+
+@query(f"WITH {_ORDER}, {_ASKED_RANGES.format(_SHORT)} SELECT * FROM rg")
+def pattern_ranges(spark, d):
+    return _ranges(spark, d, Scratch(spark), F.col("read_id") % 7)[0]
+
+
+@query(f"WITH {_ORDER}, {_ASKED_RANGES.format(_LONG)} SELECT query_id, read_id, max(pos) AS last_pos FROM rg JOIN sa ON sa_idx BETWEEN sp AND ep GROUP BY 1, 2")
+def range_report_reads(spark, d):
+    return backward.report_reads(*_ranges(spark, d, Scratch(spark), F.col("read_id") % 4 + 3))
+
+
+@query(f"WITH {_ORDER}, {_ASKED_RANGES.format(_LONG)} SELECT query_id, read_id, pos FROM rg JOIN sa ON sa_idx BETWEEN sp AND ep")
+def range_report_occurrences(spark, d):
+    return backward.report_occurrences(*_ranges(spark, d, Scratch(spark), F.col("read_id") % 4 + 3))
+
+
+@query(f"WITH {_ORDER}, {_ASKED_RANGES.format(_LONG)} SELECT query_id, count(DISTINCT read_id)::bigint AS q2, count(read_id)::bigint AS q4 FROM rg LEFT JOIN sa ON sa_idx BETWEEN sp AND ep GROUP BY 1")
+def range_count(spark, d):
+    return backward.count_for(*_ranges(spark, d, Scratch(spark), F.col("read_id") % 4 + 3))
+
+
+_MERGED = _NAMES + ", al AS (SELECT false AS second, read_id, seq FROM names UNION ALL SELECT true, n_nationkey::bigint, n_name FROM nation)"
+
+
+@query(f"WITH {_MERGED} SELECT row_number() OVER (ORDER BY substr(seq, p + 1), second, read_id) - 1 AS sa_idx, second, read_id, p::bigint AS pos FROM (SELECT second, read_id, seq, unnest(range(0, length(seq) + 1)) AS p FROM al)")
+def suffix_order_merge(spark, d):
+    names, nations = bind.name_reads(spark, d), bind.nation_reads(spark, d)
+    orders = [suffix.suffix_order_doubling(x, Scratch(spark)) for x in (names, nations)]
+    return suffix.merge_orders(*orders, suffix.insertion_ranks_doubling(names, nations, Scratch(spark)))
+
+
+_PLCP = f"{_LCP}, {_STARTS.format('names')}, pl AS (SELECT start_pos + pos AS text_pos, sa_idx, lcp AS plcp FROM lcp JOIN starts USING (read_id))"
+
+
+def _plcp(spark, d, scratch):
+    reads = bind.name_reads(spark, d)
+    starts = scratch.keep(coords.with_starts(reads, scratch), "placed")
+    return scratch.keep(suffix.plcp(suffix.lcp_doubling(reads, scratch), starts), "plcp"), starts
+
+
+@query(f"WITH {_PLCP} SELECT text_pos, plcp FROM pl QUALIFY plcp IS DISTINCT FROM lag(plcp) OVER (ORDER BY text_pos) - 1")
+def lcp_minimal_samples(spark, d):
+    return suffix.plcp_samples(_plcp(spark, d, Scratch(spark))[0])
+
+
+@query(f"WITH {_PLCP} SELECT sa_idx, plcp AS lcp FROM pl")
+def lcp_from_samples(spark, d):
+    scratch = Scratch(spark)
+    values, starts = _plcp(spark, d, scratch)
+    samples = scratch.keep(suffix.plcp_samples(values), "samples")
+    places = suffix.suffix_order_doubling(bind.name_reads(spark, d), Scratch(spark)).join(starts.select("read_id", "start_pos"), "read_id").select("sa_idx", (F.col("start_pos") + F.col("pos")).alias("text_pos"))
+    rebuilt = suffix.plcp_from_samples(samples, places)
+    return places.join(rebuilt, "text_pos").select("sa_idx", F.col("plcp").alias("lcp"))
+
+
+_TABLE = f"{_LCP}, tb AS (SELECT sa_idx, read_id, lcp.pos, CASE WHEN lcp.pos > 0 THEN substr(seq, lcp.pos, 1) END AS symbol, lcp FROM lcp JOIN names USING (read_id))"
+
+
+def _suffix_table(spark, d, scratch):
+    reads = bind.name_reads(spark, d)
+    order = suffix.lcp_doubling(reads, scratch)
+    tables.save(order.join(suffix.bwt(order, reads), "sa_idx"), scratch.path("suffixes"))
+    return scratch.path("suffixes")
+
+
+@query(f"WITH {_TABLE} SELECT * FROM tb")
+def suffix_table_round_trip(spark, d):
+    return tables.load(spark, _suffix_table(spark, d, Scratch(spark)))
+
+
+@query(f"WITH {_TABLE} SELECT * FROM tb WHERE sa_idx BETWEEN 1000 AND 3000")
+def suffix_table_range(spark, d):
+    return tables.rows_between(spark, _suffix_table(spark, d, Scratch(spark)), 1000, 3000)
+
+
 # the persisted index
 
 _BOTH = _NAMES + ", both_ AS (SELECT * FROM names UNION ALL SELECT n_nationkey + (SELECT max(read_id) + 1 FROM names), n_name FROM nation)"
@@ -602,6 +693,54 @@ def symbol_at(spark, d):
     return bind.event_seq(spark, d).select("i", (F.col("c") == 2).alias("is_symbol"))
 
 
+# range queries in batches, and sparse vectors
+
+_BATCH = _EVENTS + ", qs AS (SELECT event_id AS query_id, event_id AS first, event_id + event_id % 200 AS last, user_id - 20 AS least, user_id + event_id % 50 AS most FROM events), hit AS MATERIALIZED (SELECT query_id, i, c FROM qs JOIN users ON i BETWEEN first AND last AND c BETWEEN least AND most)"
+
+
+def _range_batch(spark, d):
+    """A range of rows and symbols for each event."""
+    key, user = F.col("event_id"), F.col("user_id")
+    return bind.table(spark, d, "events").select(key.alias("query_id"), key.alias("first"), (key + key % 200).alias("last"), (user - 20).alias("least"), (user + key % 50).alias("most"))
+
+
+def _user_tree(spark, d):
+    return SymbolTree(bind.user_seq(spark, d), Scratch(spark))
+
+
+@query(f"WITH {_BATCH} SELECT query_id, c, count(*)::bigint AS n FROM hit GROUP BY 1, 2")
+def batch_range_distinct(spark, d):
+    return _user_tree(spark, d).distinct(_range_batch(spark, d))
+
+
+@query(f"WITH {_BATCH} SELECT query_id, count(DISTINCT c)::bigint AS n_distinct, count(c)::bigint AS n_rows FROM qs LEFT JOIN hit USING (query_id) GROUP BY 1")
+def batch_range_counts(spark, d):
+    tree, asked = _user_tree(spark, d), _range_batch(spark, d)
+    distinct = tree.distinct(asked).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    found = tree.counts(asked).join(distinct.withColumnRenamed("n", "_d"), "query_id", "left")
+    return found.select("query_id", F.coalesce("_d", F.lit(0)).alias("n_distinct"), F.col("n").alias("n_rows"))
+
+
+@query(f"WITH {_BATCH} SELECT * FROM hit")
+def batch_range_rows(spark, d):
+    return _user_tree(spark, d).rows(_range_batch(spark, d))
+
+
+@query(f"WITH {_EVENTS}, qs AS (SELECT event_id AS query_id, user_id + event_id % 7 - 3 AS c, event_id % 97 * 11 AS i FROM events), h AS (SELECT query_id, qs.i, max(u.c) AS symbol FROM qs LEFT JOIN users u ON u.c <= qs.c AND u.i <= qs.i GROUP BY 1, 2) SELECT query_id, symbol, CASE WHEN symbol IS NULL THEN -1 ELSE count(u.i) END::bigint AS rank FROM h LEFT JOIN users u ON u.c = h.symbol AND u.i <= h.i GROUP BY 1, 2")
+def batch_rank_less_than(spark, d):
+    key = F.col("event_id")
+    asked = bind.table(spark, d, "events").select(key.alias("query_id"), (F.col("user_id") + key % 7 - 3).alias("c"), (key % 97 * 11).alias("i"))
+    return _user_tree(spark, d).rank_less_than(asked)
+
+
+@query("WITH o AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS idx FROM (SELECT event_id * 100000007 + user_id AS i FROM events WHERE event_type = 'purchase')), q AS (SELECT event_id AS query_id, event_id * 100000007 + event_id % 100 AS v FROM events) SELECT query_id, v, (coalesce(idx, (SELECT count(*) FROM o)) + CASE WHEN i = v THEN 1 ELSE 0 END)::bigint AS rank, coalesce(idx, (SELECT count(*) FROM o))::bigint AS idx, i FROM q ASOF LEFT JOIN o ON o.i >= q.v")
+def sparse_vector_lookup(spark, d):
+    events = bind.table(spark, d, "events")
+    far = F.col("event_id") * 100000007
+    ones = events.where("event_type = 'purchase'").select((far + F.col("user_id")).alias("i"))
+    return ranktree.sparse_lookup(ones, events.select(F.col("event_id").alias("query_id"), (far + F.col("event_id") % 100).alias("v")), Scratch(spark))
+
+
 # codes and scalars
 
 
@@ -613,9 +752,20 @@ def invert_permutation(spark, d):
     return codes.invert(order.select("i", "pi"))
 
 
-@query()
+#: The two least counts are joined until one is left; each sum is a bit for all below it.
+_HUFFMAN = "WITH RECURSIVE ct AS (SELECT user_id AS c, count(*)::bigint AS n FROM events GROUP BY 1), h AS (SELECT list_sort(list(n)) AS l, 0::bigint AS bits FROM ct UNION ALL SELECT list_sort(list_append(l[3:], l[1] + l[2])), bits + l[1] + l[2] FROM h WHERE len(l) > 1)"
+
+
+@query(f"{_HUFFMAN} SELECT (SELECT sum(n) FROM ct)::bigint AS n, (SELECT count(*) FROM ct)::bigint AS n_symbols, (SELECT CASE WHEN count(*) = 1 THEN sum(l[1]) ELSE max(bits) END FROM h)::bigint AS total_bits")
 def huffman_size(spark, d):
-    return codes.huffman_size(bind.user_seq(spark, d))
+    return huffman.size(huffman.code_table(bind.user_seq(spark, d), Scratch(spark)))
+
+
+@query(f"WITH {_EVENTS} SELECT i, c FROM users")
+def huffman_round_trip(spark, d):
+    scratch, seq = Scratch(spark), bind.user_seq(spark, d)
+    codes_of = huffman.code_table(seq, scratch)
+    return huffman.decode(scratch.keep(huffman.encode(seq, codes_of), "packed"), codes_of)
 
 
 @query("SELECT user_id AS c, row_number() OVER (ORDER BY user_id) AS mapped FROM (SELECT DISTINCT user_id FROM events)")
