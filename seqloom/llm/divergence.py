@@ -102,6 +102,8 @@ def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     kept = columns.groupBy("lang").agg(F.count(F.lit(1)).alias("columns"), F.sum("times").alias("terms"))
     langs = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("sources"), F.sum("total").alias("whole")).join(kept, "lang", "left").na.fill(0, ["columns", "terms"])
     langs = langs.withColumns({"blocks": F.greatest(F.lit(1), F.ceil(F.col("columns") * F.col("sources") / CELLS)), "tiles": F.ceil(F.col("sources") / tile)})
+    # Written, so that Spark knows their size: a few languages go to all tasks, and none is one task's.
+    langs = scratch.keep(langs, "langs")
     groups = scratch.keep(groups.join(langs, "lang"), "groups")
 
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
