@@ -14,6 +14,22 @@ from .plans.scale import Scratch
 from .sources.reads import read_lines
 
 
+#: Rows that are printed; --output takes all.
+PRINTED = 1_000
+
+
+def shown(rows: DataFrame, output: str | None) -> None:
+    """Write the rows as tab-separated text below output, or print the first PRINTED."""
+    if output:
+        rows.write.mode("overwrite").option("sep", "\t").option("header", True).csv(output)
+        return
+    some = rows.limit(PRINTED + 1).collect()
+    for row in some[:PRINTED]:
+        print(*row, sep="\t")
+    if len(some) > PRINTED:
+        print(f"... only the first {PRINTED} rows are printed; --output FOLDER writes all")
+
+
 def arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="seqloom", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
@@ -43,6 +59,8 @@ def arguments() -> argparse.ArgumentParser:
     display.add_argument("input")
     for name in ("read", "position", "length"):
         display.add_argument(name, type=int)
+    for each in (profile, grep, locate):
+        each.add_argument("-o", "--output", help="a folder for all rows, as tab-separated text")
     merge = commands.add_parser("merge", help="two indexes as one")
     for name in ("first", "second", "output"):
         merge.add_argument(name)
@@ -84,19 +102,19 @@ def main(argv: list[str] | None = None) -> None:
         index = store.load(spark, given.index)
         read = index.reads.where(F.col("read_id") == given.read)
         found = (profiles.reverse_profile if given.reverse else profiles.profile)(read, index.stats, index.k)
-        found.orderBy(F.desc("pos")).select("pos", "kmer", "q2").show(1 << 30, truncate=False)
+        shown(found.orderBy(F.desc("pos")).select("pos", "kmer", "q2"), given.output)
     elif given.command == "grep":
         reads = read_lines(spark, given.input)
         if given.count:
             patterns.grep_count(reads, given.pattern).show()
         elif given.context is not None:
-            patterns.grep_context(reads, given.pattern, given.context).orderBy("read_id", "pos").show(1 << 30, truncate=False)
+            shown(patterns.grep_context(reads, given.pattern, given.context).orderBy("read_id", "pos"), given.output)
         else:
-            patterns.grep(reads, given.pattern).orderBy("read_id").show(1 << 30, truncate=False)
+            shown(patterns.grep(reads, given.pattern).orderBy("read_id"), given.output)
     elif given.command == "locate":
         asked = read_lines(spark, given.patterns).select(F.col("read_id").alias("pattern_id"), F.col("seq").alias("pattern"))
         found = (patterns.count if given.count else patterns.locate)(read_lines(spark, given.input), asked)
-        found.orderBy(*found.columns).show(1 << 30, truncate=False)
+        shown(found.orderBy(*found.columns), given.output)
     elif given.command == "display":
         read = read_lines(spark, given.input).where(F.col("read_id") == given.read)
         read.select(patterns.display_from(F.col("seq"), F.lit(given.position), given.length).alias("text")).show(truncate=False)

@@ -164,6 +164,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert totals.asDict() == {"n_queries": 24, "q1": 24, "q2": 24, "q3": 44, "q4": 44}
     main(["grep", "-n", "2", "GATTACA", source])
     main(["profile", "-r", made, "0"])
+    main(["locate", "-o", str(tmp_path / "found"), str(tmp_path / "reads.txt"), source])
+    assert spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "found")).count() == 2
     asked = tmp_path / "patterns"
     asked.write_text("GATTACA\nTT\n")
     main(["locate", str(asked), source])
@@ -172,6 +174,6 @@ def test_command_line(spark, tmp_path, capsys):
     main(["merge", made, made, str(tmp_path / "both")])
     assert store.load(spark, str(tmp_path / "both")).stats.where("kmer = 'AGA'").first()["q4"] == 2
     main(["bwt", source, str(tmp_path / "bwt")])
-    assert "GATTACAGA" in capsys.readouterr().out and spark.read.parquet(str(tmp_path / "bwt")).count() == 31
+    assert "0\t0\tGATTACAGA\n" in capsys.readouterr().out and spark.read.parquet(str(tmp_path / "bwt")).count() == 31
     src.write_read(index.reads, 1, str(tmp_path / "one"))
     assert [x.value for x in spark.read.text(str(tmp_path / "one")).collect()] == ["TGTAATCTGTAATC"]
