@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import kmers, patterns, profiles, suffix
 from .plans import index as store
-from .plans.scale import Scratch
+from .plans.scale import Scratch, owned
 from .sources.reads import read_lines
 
 
@@ -92,6 +92,12 @@ def main(argv: list[str] | None = None) -> None:
     given = arguments().parse_args(argv)
     spark = SparkSession.builder.appName("seqloom").getOrCreate()
     began = time.time()
+    with owned():
+        run(spark, given)
+    print(f"{time.time() - began:.1f} seconds")
+
+
+def run(spark: SparkSession, given: argparse.Namespace) -> None:
     if given.command == "build":
         if given.length < 3:
             raise SystemExit("k must be 3 at least")
@@ -126,7 +132,6 @@ def main(argv: list[str] | None = None) -> None:
         reads = read_lines(spark, given.input)
         order = suffix.lcp_doubling(reads, Scratch(spark))
         order.join(suffix.bwt(order, reads), "sa_idx").write.mode("overwrite").parquet(given.output)
-    print(f"{time.time() - began:.1f} seconds")
 
 
 if __name__ == "__main__":

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..plans.scale import Scratch, numbered
 
+#: Numbers of reads up to this many are broadcast to leave the others out.
+BROADCAST_READS = 1_000_000
+
 
 def _size() -> Column:
     """A read's symbols; a null read is empty."""
@@ -64,3 +67,12 @@ def read_ranges(starts: DataFrame) -> DataFrame:
     """(read_id, first_pos, last_pos): the text positions of each read's symbols; null for empty reads."""
     some = F.when(_size() > 0, F.col("start_pos"))
     return starts.select("read_id", some.alias("first_pos"), (some + _size() - 1).alias("last_pos"))
+
+
+def get_reads(reads: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(query_id, read_id) with seq, the read of that number; none if there isn't one. Reads that
+    nothing asks for leave before the texts are shuffled, if those asked for are few enough."""
+    ids = asked.select("read_id").distinct()
+    few = ids.limit(BROADCAST_READS + 1).count() <= BROADCAST_READS
+    near = reads.join(F.broadcast(ids), "read_id", "left_semi") if few else reads
+    return asked.select("query_id", "read_id").join(near.select("read_id", "seq"), "read_id")

@@ -65,6 +65,11 @@ def bit_runs(bits: DataFrame) -> DataFrame:
     return ones.groupBy("_run").agg(F.min("i").alias("start"), F.count(F.lit(1)).alias("length")).drop("_run")
 
 
+def access(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(query_id, i) with the row of rows(i, ...) at each position; none beyond the end."""
+    return asked.select("query_id", "i").join(rows, "i")
+
+
 def merge_vectors(first: DataFrame, second: DataFrame, inserted: DataFrame) -> DataFrame:
     """(i): the ones of two vectors once second is inserted into first.
 

@@ -39,11 +39,16 @@ def build(reads: DataFrame, k: int, scratch: Scratch) -> Index:
 
 
 def save(index: Index, path: str) -> None:
+    """Write the tables and the description."""
+    write_tables(index, path)
+    index.describe().write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def write_tables(index: Index, path: str) -> None:
     """Write the tables, sorted by k-mer within ranges of it so that a lookup reads few files."""
     index.reads.write.mode("overwrite").parquet(f"{path}/reads")
     index.kmers.repartitionByRange("kmer", "read_id", "pos").sortWithinPartitions("kmer", "read_id", "pos").write.mode("overwrite").parquet(f"{path}/kmers")
     index.stats.repartitionByRange("kmer").sortWithinPartitions("kmer").write.mode("overwrite").parquet(f"{path}/stats")
-    index.describe().write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def load(spark: SparkSession, path: str) -> Index:

@@ -9,11 +9,14 @@ ranges once, written, and numbered within their ranges.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
+import logging
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,24 +29,84 @@ BLOCK = 65_536
 def _own_folder() -> str:
     """For one local process without spark.checkpoint.dir: a temporary folder that goes with it."""
     found = tempfile.mkdtemp(prefix="seqloom-")
+    logging.getLogger("seqloom").warning("spark.checkpoint.dir is unset; intermediate tables go to %s until this process ends", found)
     atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder that goes with the process serves if driver and executors
+    are one local process; anything else is an error, as executors wouldn't see each other's files.
+    """
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = _own_folder()
+    return found.rstrip("/")
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, at = _at(spark, path)
+    return system.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder, if it is there."""
+    system, at = _at(spark, path)
+    system.delete(at, True)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Make an empty file, if it isn't there."""
+    system, at = _at(spark, path)
+    if not system.exists(at):
+        system.create(at, True).close()
+
+
+_owner: ContextVar[contextlib.ExitStack | None] = ContextVar("owner", default=None)
+
+
+@contextlib.contextmanager
+def owned() -> Iterator[contextlib.ExitStack]:
+    """What operators keep while this lasts is removed at its end, so results are written before.
+
+    Each thread has its own: what another one keeps stays. Within another owned(), the inner one
+    removes what was kept in it. Operators may leave other work for the end, as callbacks.
+    """
+    with contextlib.ExitStack() as stack:
+        token = _owner.set(stack)
+        try:
+            yield stack
+        finally:
+            _owner.reset(token)
+
+
+def at_end(f: Callable[[], None]) -> None:
+    """Leave f to the innermost owned(), if there is one."""
+    stack = _owner.get()
+    if stack is not None:
+        stack.callback(f)
+
+
 class Scratch:
     """Written tables in the folder that driver and executors share: spark.checkpoint.dir.
 
-    Results read them when they are computed; drop() removes them afterwards.
+    A written table cuts the lineage: when an executor is lost, what was written stays. Results read
+    them when they are computed; drop(), or the end of owned(), removes them afterwards.
     """
 
-    def __init__(self, spark: SparkSession):
-        context = spark.sparkContext
-        base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = _own_folder()
-        self.spark, self.root = spark, f"{base.rstrip('/')}/seqloom-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, name: str = ""):
+        self.spark, self.root = spark, f"{shared_folder(spark)}/seqloom-{name and name + '-'}{uuid.uuid4().hex}"
+        at_end(self.drop)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -54,8 +117,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        remove(self.spark, self.path(name) if name else self.root)
 
 
 def scan(df: DataFrame, order: str, keys: Sequence[str] = (), **outs: tuple[str, Column]) -> DataFrame:

@@ -12,8 +12,9 @@ from .operators import backward, codes, coords, huffman, kmers, patterns, profil
 from .operators.ranges import SymbolTree
 from .plans import bindings as bind
 from .plans import index as store
-from .plans import tables
+from .plans import tables, versions
 from .plans.scale import Scratch
+from .sources import numbers
 from .sources import reads as src
 from .streaming import counts as stream
 
@@ -187,9 +188,13 @@ def read_lengths(spark, d):
     return coords.read_lengths(bind.text_reads(spark, d))
 
 
-@query("SELECT doc_id AS read_id, text AS seq FROM documents")
+@query("SELECT event_id AS query_id, doc_id AS read_id, text AS seq FROM events JOIN documents ON doc_id = (user_id * 31) % (SELECT max(doc_id) + 2 FROM documents)")
 def get_reads(spark, d):
-    return bind.text_reads(spark, d)
+    """The read that each event asks for; one number more than there are is asked for, too."""
+    reads = bind.text_reads(spark, d)
+    last = F.broadcast(reads.agg(F.max("read_id").alias("_last")))  # one row
+    asked = bind.user_seq(spark, d).join(last).select(F.col("i").alias("query_id"), (F.col("c") * 31 % (F.col("_last") + 2)).alias("read_id"))
+    return coords.get_reads(reads, asked)
 
 
 # profiles
@@ -512,6 +517,43 @@ def index_append(spark, d):
     return store.append(_stored(spark, bind.name_reads(spark, d), K_NAME), bind.nation_reads(spark, d), Scratch(spark)).kmers
 
 
+#: Appends of an index that grows.
+APPENDS = 5
+_GROWN = _NAMES + f", parts AS (SELECT (row_number() OVER (ORDER BY read_id % {APPENDS}, read_id) - 1)::bigint AS read_id, seq FROM names)"
+
+
+def _grown(spark, d):
+    path, reads = Scratch(spark).path("grown"), bind.name_reads(spark, d)
+    for turn in range(APPENDS):
+        versions.append(spark, path, reads.where(F.col("read_id") % APPENDS == turn), K_NAME, fan=3)
+    return path
+
+
+@query(f"WITH {_GROWN}, {_kmers(K_NAME, 'parts')} SELECT kmer, read_id, pos FROM km")
+def index_appends(spark, d):
+    """All reads come in turns; three parts of a level are merged."""
+    return versions.load(spark, _grown(spark, d)).kmers
+
+
+@query(f"WITH {_NAMES}, {_kmers(K_NAME, 'names')}, {_stats()} SELECT * FROM st")
+def index_compacted(spark, d):
+    path = _grown(spark, d)
+    versions.compact(spark, path)
+    versions.expire(spark, path)
+    return versions.load(spark, path).stats
+
+
+@query(f"WITH {_NAMES}, {_kmers(K_NAME, 'names')}, {_stats()} SELECT * FROM st")
+def index_stream(spark, d):
+    """A stream of reads in files, a batch for each, into an index."""
+    scratch = Scratch(spark)
+    bind.name_reads(spark, d).repartition(3).write.parquet(scratch.path("reads"))
+    reads = spark.readStream.schema("read_id long, seq string").option("maxFilesPerTrigger", 1).parquet(scratch.path("reads"))
+    adding = reads.writeStream.foreachBatch(versions.appender(scratch.path("index"), K_NAME)).option("checkpointLocation", scratch.path("state"))
+    adding.trigger(availableNow=True).start().awaitTermination()
+    return versions.load(spark, scratch.path("index")).stats
+
+
 @query(f"WITH {_NAMES}, {_kmers(K_NAME, 'names')}, {_stats()} SELECT * FROM st")
 def streaming_counts(spark, d):
     scratch = Scratch(spark)
@@ -568,6 +610,20 @@ def fastq_round_trip(spark, d):
     return src.read_fastq(spark, path)
 
 
+@query(f"WITH {_EVENTS} SELECT i, c FROM users")
+def integers_round_trip(spark, d):
+    path = Scratch(spark).path("numbers")
+    numbers.write_integers(bind.user_seq(spark, d), path)
+    return numbers.read_integers(spark, path)
+
+
+@query(f"WITH {_EVENTS} SELECT i, coalesce(b, false) AS b FROM bits")
+def bitmap_round_trip(spark, d):
+    path = Scratch(spark).path("bits")
+    numbers.write_bitmap(bind.event_bits(spark, d), path)
+    return numbers.read_bitmap(spark, path)
+
+
 # bits and symbols
 
 
@@ -591,9 +647,19 @@ def bit_counts(spark, d):
     return rankselect.bit_counts(bind.event_bits(spark, d))
 
 
-@query(f"WITH {_EVENTS} SELECT i, b FROM bits")
+_ASKED = "asked AS (SELECT i AS query_id, (i * 7919) % (SELECT count(*) + 1 FROM users) AS i FROM users)"
+
+
+def _asked(spark, d):
+    """A position for each event, over all of them and the one after the last."""
+    events = bind.user_seq(spark, d)
+    total = F.broadcast(events.agg((F.count(F.lit(1)) + 1).alias("_n")))  # one row
+    return events.join(total).select(F.col("i").alias("query_id"), (F.col("i") * 7919 % F.col("_n")).alias("i"))
+
+
+@query(f"WITH {_EVENTS}, {_ASKED} SELECT query_id, i, b FROM asked JOIN bits USING (i)")
 def bit_access(spark, d):
-    return bind.event_bits(spark, d)
+    return rankselect.access(bind.event_bits(spark, d), _asked(spark, d))
 
 
 @query(f"WITH {_EVENTS} SELECT i, count(*) FILTER (b) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS rank, coalesce(count(*) FILTER (b) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS at_least FROM bits")
@@ -616,18 +682,16 @@ def bit_runs(spark, d):
     return rankselect.bit_runs(bind.event_bits(spark, d))
 
 
-@query(f"WITH {_EVENTS}, m AS (SELECT i AS place, 1 AS kind, b, i FROM bits UNION ALL SELECT 2 * i AS place, 0 AS kind, b, i FROM bits WHERE 2 * i < (SELECT count(*) FROM bits)) SELECT n AS i FROM (SELECT b, row_number() OVER (ORDER BY place, kind) - 1 AS n FROM m) WHERE b")
+@query(f"WITH {_EVENTS}, m AS (SELECT i AS place, 1 AS kind, b, i FROM bits UNION ALL SELECT i - i % 3 AS place, 0 AS kind, b, i FROM bits) SELECT n AS i FROM (SELECT b, row_number() OVER (ORDER BY place, kind, i) - 1 AS n FROM m) WHERE b")
 def merge_vectors(spark, d):
     bits = bind.event_bits(spark, d)
-    total = bits.agg(F.count(F.lit(1)).alias("_n"))
-    short = bits.join(F.broadcast(total)).where(F.col("i") * 2 < F.col("_n"))  # total is one row
-    inserted = short.select(F.col("i").alias("j"), (F.col("i") * 2).alias("before"))
-    return rankselect.merge_vectors(bits.where("b").select("i"), short.where("b").select("i"), inserted)
+    inserted = bits.select(F.col("i").alias("j"), (F.col("i") - F.col("i") % 3).alias("before"))
+    return rankselect.merge_vectors(bits.where("b").select("i"), bits.where("b").select("i"), inserted)
 
 
-@query(f"WITH {_EVENTS} SELECT i, c FROM seq")
+@query(f"WITH {_EVENTS}, {_ASKED} SELECT query_id, i, c FROM asked JOIN seq USING (i)")
 def symbol_access(spark, d):
-    return bind.event_seq(spark, d)
+    return rankselect.access(bind.event_seq(spark, d), _asked(spark, d))
 
 
 @query(f"WITH {_EVENTS} SELECT i, c, row_number() OVER (PARTITION BY c ORDER BY i) AS rank FROM seq")

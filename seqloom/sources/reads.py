@@ -1,4 +1,4 @@
-"""Reads from text, FASTA and FASTQ files, number files, and the sinks of query results."""
+"""Reads from text, FASTA and FASTQ files, and the sinks of query results."""
 
 from __future__ import annotations
 
@@ -7,12 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.kmers import positions
-
-
-#: Numbers of a file that are cut out at a time.
-CELL = 256
-
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], *, skip_empty: bool = False) -> DataFrame:
     """(read_id, seq): a row for each line, numbered from 0 in the order of files and lines.
@@ -46,19 +40,6 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     return lines.groupBy("_record").agg(F.substring(pick(0), 2, 1 << 30).alias("name"), pick(1).alias("seq"), pick(3).alias("quality")).drop("_record")
 
 
-def read_integers(spark: SparkSession, path: str) -> DataFrame:
-    """(i, c) of a file of unsigned 32-bit little-endian numbers, numbered over all files."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content", (F.col("length") / 4).cast("long").alias("n"))
-    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))  # a row for each file
-    # Cut into short pieces first: a place in a text is found from its start, in bytes at once.
-    cells = files.join(F.broadcast(offsets), "path").select("content", "n", "_offset", F.explode(positions(F.ceil(F.col("n") / CELL))).alias("cell"))
-    cells = cells.select(F.hex(F.substring("content", F.col("cell") * (4 * CELL) + 1, F.lit(4 * CELL))).alias("x"), (F.col("_offset") + F.col("cell") * CELL).alias("_offset"), F.least(F.lit(CELL), F.col("n") - F.col("cell") * CELL).alias("n"))
-    rows = cells.select("x", "_offset", F.explode(positions(F.col("n"))).alias("k"))
-    byte = lambda b: F.substring(F.col("x"), F.col("k") * 8 + 2 * b + 1, F.lit(2))
-    return rows.select((F.col("_offset") + F.col("k")).cast("long").alias("i"), F.conv(F.concat(byte(3), byte(2), byte(1), byte(0)), 16, 10).cast("long").alias("c"))
-
-
 def write_lines(reads: DataFrame, path: str, order: Sequence[str] = ("read_id",)) -> None:
     """A text file of the sequences, a line each, in order over the files' names."""
     reads.repartitionByRange(*order).sortWithinPartitions(*order).select("seq").write.mode("overwrite").text(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import codes, coords, kmers, patterns, profiles, suffix
 from seqloom.plans.scale import Scratch
+from seqloom.sources import numbers
 from seqloom.sources import reads as sources
 from seqloom.streaming import counts
 
@@ -46,7 +47,7 @@ def test_many_integers(spark, tmp_path):
     (tmp_path / "n").mkdir()
     values[:600].tofile(tmp_path / "n" / "a")
     values[600:].tofile(tmp_path / "n" / "b")
-    assert rows(sources.read_integers(spark, str(tmp_path / "n")), "i", "c") == list(enumerate(values.tolist()))
+    assert rows(numbers.read_integers(spark, str(tmp_path / "n")), "i", "c") == list(enumerate(values.tolist()))
 
 
 @pytest.mark.parametrize("few", [True, False])

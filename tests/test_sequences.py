@@ -10,6 +10,7 @@ from seqloom.operators import coords, kmers, patterns, profiles, rankselect, suf
 from seqloom.plans import index as store
 from seqloom.plans import scale
 from seqloom.plans.scale import Scratch
+from seqloom.sources import numbers
 from seqloom.sources import reads as src
 
 SAMPLE = ["GATTACAGATTACA", "TGTAATCTGTAATC", ""]
@@ -149,7 +150,7 @@ def test_line_and_number_files(spark, tmp_path):
 
     (tmp_path / "n").mkdir()
     (tmp_path / "n" / "x.bin").write_bytes(struct.pack("<3I", 7, 0, 4294967295))
-    assert rows(src.read_integers(spark, str(tmp_path / "n")), "i", "c") == [(0, 7), (1, 0), (2, 4294967295)]
+    assert rows(numbers.read_integers(spark, str(tmp_path / "n")), "i", "c") == [(0, 7), (1, 0), (2, 4294967295)]
 
 
 def test_command_line(spark, tmp_path, capsys):
