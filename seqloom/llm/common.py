@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
 import gc
 import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -17,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scale import Scratch, at_end, owned, shared_folder
+
 #: The characters that part words: the space and U+0009 to U+000D.
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,69 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Where it is unset, a temporary folder that goes with the process serves if driver and executors
-    are one local process; anything else is an error, as executors wouldn't see each other's files.
-    """
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = _own_folder()
-    return found.rstrip("/")
-
-
-@functools.cache
-def _own_folder() -> str:
-    found = tempfile.mkdtemp(prefix="seqloom-")
-    atexit.register(shutil.rmtree, found, ignore_errors=True)
-    return found
-
-
-_opened: list[Scratch] = []
-
-
-class Scratch:
-    """Tables and files that one run of an operator keeps in the shared folder.
-
-    A written table cuts the lineage: when an executor is lost, what was written stays. Results read
-    some of them when they are computed, so an operator drops what its result doesn't need, and
-    release() the rest once results have been written.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/seqloom-{name}-{uuid.uuid4().hex}"
-        _opened.append(self)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it again."""
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, name: str = "") -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def opened() -> int:
-    """How many Scratches there have been, for release()."""
-    return len(_opened)
-
-
-def release(since: int = 0) -> None:
-    """Remove what operators have kept since then. Results that weren't written can't be computed afterwards."""
-    for scratch in _opened[since:]:
-        scratch.drop()
-    del _opened[since:]
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like these that no column of df has."""
     taken = {c.lower() for c in df.columns}
@@ -173,13 +109,15 @@ BATCH_ROWS = 1_000
 
 def small_batches(spark: SparkSession) -> None:
     """Let Spark hand Python workers at most BATCH_ROWS rows at a time, now and for results that are
-    computed later; a session's lower setting is left.
+    computed later; a session's lower setting is left. The end of owned() sets it back.
 
     The buffers of a batch of texts stand in the JVM and in the worker at once, so their size is
     what bounds an executor's memory. Results don't depend on it.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= BATCH_ROWS:
+        at_end(lambda: spark.conf.set(name, before))
         spark.conf.set(name, str(BATCH_ROWS))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches
+from .common import Scratch, read_file, small_batches, write_file
 
 #: Vectors that the codebooks are trained on, about; picked by a hash of the vector.
 TRAIN_VECTORS = 16_384
@@ -29,6 +29,8 @@ QUERY_BLOCK = 4_096
 PART, RERANKED = 8_192, 64
 #: Queries of a block that are scored at once, and vectors that are encoded at once.
 QUERY_STEP, ENCODED = 256, 2_048
+#: Tasks of a block of queries, at most; each takes its parts one after another.
+TASKS = 16_384
 
 
 @dataclass
@@ -109,8 +111,10 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
     fewer candidates than nearest, all are given; an empty table gives no rows.
 
     Equal vectors are one candidate: of those, only the nearest + 1 smallest ids can ever be
-    needed. The index covers all of them; its codebooks are trained on about train_vectors.
-    Blocks of QUERY_BLOCK queries are broadcast in turn.
+    needed. The index covers all of them; its codebooks are trained on about train_vectors. It is
+    written once, a file for each part in the shared folder, and each block of QUERY_BLOCK queries,
+    which are broadcast in turn, reads it part by part: candidates are shuffled once, whatever the
+    number of queries. Each query still meets each candidate's code.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
@@ -141,15 +145,30 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
                 codes, norms = shared.value.encode(unit(matrix(part.column("v"), dimension)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(norms)], names=["part", "ids", "v", "codes", "norm"])
 
+    folder = scratch.path("parts")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, place = None, 0
+        for batch in _parts(batches):
+            part = batch.column(0)[0].as_py()
+            last, place = part, place + 1 if part == last else 0
+            path, out = f"{folder}/{part:09d}-{place:03d}", pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, batch.schema) as stream:
+                stream.write_batch(batch)
+            write_file(path, out.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_pydict({"path": [path]})
+
     # Parts are whole in one task and in one order; a part of over PART rows is scored in several steps.
     dealt = distinct.select(F.pmod(F.xxhash64("h", F.lit("part")), F.lit(-(-n_distinct // PART))).cast("int").alias("part"), "ids", "v")
-    index = scratch.keep(dealt.mapInArrow(encode, "part int, ids array<long>, v array<double>, codes binary, norm float"), "index")
+    coded = dealt.mapInArrow(encode, "part int, ids array<long>, v array<double>, codes binary, norm float")
+    index = scratch.keep(coded.repartition("part").sortWithinPartitions("part", F.element_at("ids", 1), "v").mapInArrow(write, "path string"), "index")
+    tasks = min(index.count(), TASKS)
     queries = scratch.keep(named.where("q").select("id", "v").distinct(), "queries")
     blocks = -(-queries.count() // QUERY_BLOCK)
     for block in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id").toArrow()
         mine = spark.sparkContext.broadcast((rows.column(0).to_numpy(), unit(matrix(rows.column(1).combine_chunks(), dimension)) if len(rows) else np.zeros((0, dimension))))
-        found = index.repartition("part").sortWithinPartitions("part", F.element_at("ids", 1), "v").mapInArrow(_scorer(shared, mine, dimension, nearest, reranked), "query_id long, vec_id long, score double")
+        found = index.repartition(tasks).mapInArrow(_scorer(shared, mine, dimension, nearest, reranked), "query_id long, vec_id long, score double")
         found.write.mode("append").parquet(scratch.path("found"))
     if not blocks:
         return spark.createDataFrame([], schema)
@@ -164,7 +183,8 @@ def _scorer(shared, mine, dimension: int, nearest: int, reranked: int):
         single = queries.astype(np.float32)
         tables = [books.tables(single[a : a + QUERY_STEP]) for a in range(0, len(names), QUERY_STEP)]
         best: list[list[tuple[float, int]]] = [[] for _ in names]
-        for part in _parts(batches):
+        for path in (x for batch in batches for x in batch.column(0).to_pylist()):
+            part = pa.ipc.open_stream(read_file(path)).read_next_batch()
             ids, v = part.column(1).to_pylist(), matrix(part.column(2), dimension)
             codes = np.frombuffer(b"".join(part.column(3).to_pylist()), dtype=np.uint8).reshape(len(part), -1)
             norms, keep = part.column(4).to_numpy(), min(reranked, len(part))

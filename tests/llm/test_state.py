@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm import common, lines, mixing, quality, sharding, simhash, warc
+from seqloom.llm import common, lines, mixing, neighbours, quality, sharding, simhash, warc
 
 TEXTS = ["one two three four\nfive", "one two three four\nfive", "other words here", None]
 
@@ -39,14 +39,22 @@ def test_batches_only_become_smaller(spark):
         spark.conf.set(name, before)
 
 
-def test_release_removes_what_was_kept(spark):
-    since = common.opened()
-    scratch = common.Scratch(spark, "mine")
-    scratch.keep(spark.range(3), "x")
-    at = common.local_path(scratch.root)
-    assert os.path.isdir(at)
-    common.release(since)
-    assert not os.path.exists(at) and common.opened() == since
+def test_settings_and_tables_go_with_their_owner(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, there = spark.conf.get(name), set(os.listdir(common.local_path(common.shared_folder(spark))))
+    docs = documents(spark)
+    vectors = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    try:
+        spark.conf.set(name, "10000")
+        with common.owned():
+            lines.deduplicate(docs).write.format("noop").mode("overwrite").save()
+            simhash.deduplicate(docs).write.format("noop").mode("overwrite").save()
+            assert neighbours.search(vectors, F.col("vec_id") % 50 == 0).count() == 10
+            assert spark.conf.get(name) == str(common.BATCH_ROWS)
+        assert spark.conf.get(name) == "10000"
+    finally:
+        spark.conf.set(name, before)
+    assert set(os.listdir(common.local_path(common.shared_folder(spark)))) == there
 
 
 def test_record_ids_are_the_same_in_each_run(spark):
