@@ -27,6 +27,23 @@ def test_core_stands_alone(tmp_path):
     assert found.returncode == 0, found.stderr
 
 
+def test_the_other_tests_stand_alone(tmp_path):
+    """Without both folders of the operators and the pipeline all tests can be collected, and some run."""
+    for name in ("seqloom", "tests", "__spark_entry__.py", "bench.py"):
+        if (ROOT / name).is_dir():
+            shutil.copytree(ROOT / name, tmp_path / name, ignore=shutil.ignore_patterns("__pycache__"))
+        else:
+            shutil.copy(ROOT / name, tmp_path / name)
+    for name in ("seqloom/llm", "tests/llm"):
+        shutil.rmtree(tmp_path / name, ignore_errors=True)
+    run = lambda *more: subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *more], cwd=tmp_path, capture_output=True, text=True)
+    collected = run("--collect-only", "tests")
+    assert collected.returncode == 0, collected.stdout
+    assert "tests/test_oracle.py::test_query[kmer_stats]" in collected.stdout
+    found = run("tests/test_entry.py::test_entry", "tests/test_entry.py::test_nothing_else_imports_the_operators")
+    assert found.returncode == 0, found.stdout
+
+
 def test_errors_in_the_operators_are_not_swallowed(tmp_path):
     for name in ("seqloom", "__spark_entry__.py"):
         copy = shutil.copytree if (ROOT / name).is_dir() else shutil.copy
