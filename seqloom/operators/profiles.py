@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.sequence import reverse_complement
 from .kmers import extract
 
+#: Counts of up to so many k-mers are broadcast to the reads.
+BROADCAST_COUNTS = 1 << 19
+
 
 def profile(patterns: DataFrame, counts: DataFrame, k: int) -> DataFrame:
     """patterns(read_id, seq) -> read_id, pos, kmer, q2, q4 for each of its k-mers; 0 where the
@@ -41,6 +44,14 @@ def own_summary(kmers: DataFrame) -> DataFrame:
     return joined.groupBy("read_id").agg(F.sum("n").cast("long").alias("n_kmers"), F.sum(F.when(F.col("q4") > 0, F.col("n"))).cast("long").alias("n_found"), F.min("q2").alias("min_q2"), F.max("q2").alias("max_q2"), F.sum(F.col("q2") * F.col("n")).cast("long").alias("sum_q2"))
 
 
+def whole_summary(reads: DataFrame, counts: DataFrame, k: int) -> DataFrame:
+    """own_summary(extract(reads, k)) with counts, what kmers.stats() gives of the reads. While they are
+    few they go to the reads, so no k-mer of a read is shuffled."""
+    if counts.limit(BROADCAST_COUNTS + 1).count() > BROADCAST_COUNTS:
+        return own_summary(extract(reads, k))
+    return summary(extract(reads, k).join(F.broadcast(counts), "kmer"))
+
+
 def summary(profiles: DataFrame) -> DataFrame:
     """A row per read: read_id, n_kmers, n_found, min_q2, max_q2, sum_q2."""
     return profiles.groupBy("read_id").agg(F.count(F.lit(1)).alias("n_kmers"), F.count_if(F.col("q4") > 0).alias("n_found"), F.min("q2").alias("min_q2"), F.max("q2").alias("max_q2"), F.sum("q2").cast("long").alias("sum_q2"))

@@ -144,3 +144,21 @@ def test_context_across_pieces(spark, context):
     found = patterns.grep_context(spark.createDataFrame(plain, READS), "ACCA", context)
     want = sorted((r, p, s[max(p - context, 0) : p + 4 + context]) for r, s in plain for p in range(len(s)) if s.startswith("ACCA", p))
     assert rows(found, "read_id", "pos", "match") == want
+
+
+def test_counts_of_whole_reads(spark, monkeypatch):
+    """Counts without a row for each occurrence, in groups of reads, by numbers, by texts and for long reads."""
+    draw = random.Random(5)
+    texts = ["", None, "A", "ACG", "AAAAAAA", "日é\0日é\0日", "x" * 300] + ["".join(draw.choices("ACGTN", k=draw.randrange(90))) for _ in range(60)]
+    texts += ["".join(map(chr, draw.sample(range(0x4E00, 0x9000), 40))) for _ in range(3)]
+    reads = spark.createDataFrame(list(enumerate(texts)), "read_id long, seq string").coalesce(2).cache()
+    for k, counted, whole in ((1, 200, 100), (3, 1 << 21, 1 << 17), (8, 50, 20), (40, 1 << 21, 1 << 17)):
+        monkeypatch.setattr(kmers, "COUNTED", counted)
+        monkeypatch.setattr(kmers, "WHOLE", whole)
+        want = rows(kmers.stats(kmers.extract(reads, k)), "kmer", "q2", "q4")
+        found = kmers.read_stats(reads, k)
+        assert rows(found, "kmer", "q2", "q4") == want and want
+        monkeypatch.setattr(profiles, "BROADCAST_COUNTS", k * 10)
+        names = ["read_id", "n_kmers", "n_found", "min_q2", "max_q2", "sum_q2"]
+        assert rows(profiles.whole_summary(reads, found, k), *names) == rows(profiles.own_summary(kmers.extract(reads, k)), *names)
+    assert "read_id" not in found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]  # no shuffle by read and k-mer
