@@ -84,3 +84,19 @@ def test_no_rows(spark):
     assert tree.distinct(asked).count() == 0 and rows(tree.counts(asked), "n") == [(0,)]
     none = spark.createDataFrame([], "sa_idx long, symbol string")
     assert rows(backward.pattern_ranges(none, spark.createDataFrame([(0, ""), (1, "A")], "pattern_id long, pattern string"), Scratch(spark)), "sp", "ep") == [(1, 0), (1, 0)]
+
+
+def test_symbols_are_not_broadcast(spark):
+    """A row for each symbol is estimated at the size of the reads' file."""
+    reads = spark.createDataFrame([(0, "GATTACA"), (1, "TAG")], "read_id long, seq string")
+    found = suffix.bwt(suffix.suffix_order(reads, Scratch(spark)), reads)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and found.where("symbol IS NULL").count() == 2
+
+
+def test_equal_ranges_are_counted_once(spark):
+    order = spark.createDataFrame([(k, k % 3, k) for k in range(30)], "sa_idx long, read_id long, pos long")
+    ranges = spark.createDataFrame([(q, 2, 9) for q in range(500)] + [(500, 1, 0)], "query_id long, sp long, ep long")
+    assert backward._reads_of(ranges, order).count() == 3
+    assert rows(backward.count_for(ranges, order), "query_id", "q2", "q4") == sorted([(q, 3, 8) for q in range(500)] + [(500, 0, 0)], key=str)
+    assert rows(backward.report_reads(ranges, order), "query_id", "read_id", "last_pos") == sorted([(q, r, p) for q in range(500) for r, p in ((0, 9), (1, 7), (2, 8))], key=str)
