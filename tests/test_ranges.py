@@ -100,3 +100,19 @@ def test_equal_ranges_are_counted_once(spark):
     assert backward._reads_of(ranges, order).count() == 3
     assert rows(backward.count_for(ranges, order), "query_id", "q2", "q4") == sorted([(q, 3, 8) for q in range(500)] + [(500, 0, 0)], key=str)
     assert rows(backward.report_reads(ranges, order), "query_id", "read_id", "last_pos") == sorted([(q, r, p) for q in range(500) for r, p in ((0, 9), (1, 7), (2, 8))], key=str)
+
+
+def test_short_ranges_need_no_tree(spark):
+    """Ranges of few rows, for each row, meet these alone; nodes of the tree are built for wide ones only."""
+    tree = SymbolTree(spark.createDataFrame([(i, i % 7) for i in range(2000)], "i long, c long"), Scratch(spark))
+    asked = spark.createDataFrame([(q, q, q + q % 50, 2, 3) for q in range(-5, 2000)], "query_id long, first long, last long, least long, most long")
+    want = [(q, i, i % 7) for q in range(-5, 2000) for i in range(max(q, 0), min(q + q % 50, 1999) + 1) if i % 7 in (2, 3)]
+    assert rows(tree.rows(asked), "query_id", "i", "c") == sorted(want, key=str)
+    assert "tree" not in vars(tree)
+
+
+def test_sparse_lookups_sort_once(spark, monkeypatch):
+    """No tree: queries and ones are numbered together."""
+    monkeypatch.setattr(ranktree, "RankTree", None)
+    ones, asked = spark.createDataFrame([(3,), (10**15,)], "i long"), spark.createDataFrame([(0, 3), (1, 4), (2, 10**15 + 1)], "query_id long, v long")
+    assert rows(sparse_lookup(ones, asked, Scratch(spark)), "query_id", "v", "rank", "idx", "i") == sorted([(0, 3, 1, 0, 3), (1, 4, 1, 1, 10**15), (2, 10**15 + 1, 2, 2, None)], key=str)
