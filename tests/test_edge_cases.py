@@ -194,6 +194,10 @@ def test_seeds_meet_reads_without_a_shuffle(spark, monkeypatch):
     found = patterns.locate(reads, listed, scan_up_to=0)
     assert rows(found, "pattern_id", "read_id", "pos") == want
     assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    for n in (16, 256):  # of one length
+        mine = patterns.locate(reads, listed.where(F.length("pattern") == n), scan_up_to=0)
+        assert rows(mine, "pattern_id", "read_id", "pos") == [x for x in want if len(asked[x[0]][1]) == n]
+        assert "MapInArrow" in mine._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(patterns, "BROADCAST_BYTES", 0)
     assert rows(patterns.locate(reads, listed, scan_up_to=0), "pattern_id", "read_id", "pos") == want
 
