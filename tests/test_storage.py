@@ -2,13 +2,14 @@
 
 import heapq
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from seqloom.operators import coords, huffman, suffix
 from seqloom.plans import tables
-from seqloom.plans.scale import Scratch
+from seqloom.plans.scale import CLEANUP, Scratch
 
 READS = "read_id long, seq string"
 
@@ -99,3 +100,16 @@ def test_ranges_read_few_files(spark, tmp_path):
     spark.read.parquet(f"{tmp_path}/manifest").withColumn("version", F.lit(99)).write.parquet(f"{tmp_path}/other/manifest")
     with pytest.raises(ValueError, match="version 99"):
         tables.load(spark, f"{tmp_path}/other")
+
+
+def test_shuffle_files_go_when_a_table_is_kept(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = disk.getAllFiles().size()
+    kept = Scratch(spark).keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    for _ in range(50):
+        if disk.getAllFiles().size() <= before:
+            break
+        time.sleep(0.1)
+    assert disk.getAllFiles().size() <= before
+    assert {x["count"] for x in kept.collect()} == {142, 143}
+    assert spark.conf.get(CLEANUP, None) != "true"
